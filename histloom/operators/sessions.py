@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from histloom.tables import Scratch
 
 
-def sessions(events: DataFrame, key: Column, at: Column, gap: int, event_id: Column | None = None) -> DataFrame:
+def sessions(events: DataFrame, key: Column, at: Column, gap: int, event_id: Column | None = None, sums: dict[str, Column] | None = None, first: dict[str, Column] | None = None) -> DataFrame:
     """Sessions of each key: successive events at most ``gap`` apart.
 
     Every event is linked to a predecessor within the gap, and the links are doubled (each pointer is
@@ -21,20 +21,25 @@ def sessions(events: DataFrame, key: Column, at: Column, gap: int, event_id: Col
 
     key: any type; null keys are left out. at: integral time in the gap's unit; null times are left out.
     event_id: events of equal id, key and time count once; without it every row counts.
-    Returns key, session_start, session_end, duration, events. An empty input gives an empty result; an
+    sums: further columns added up per session (nulls add nothing); first: columns of each session's first event (the least value
+    among events at that instant). Returns key, session_start, session_end, duration, events, then these. An empty input gives an empty result; an
     event exactly ``gap`` after the last belongs to the same session; equal times are one instant. Other
     columns of ``events`` are ignored, whatever their names.
     """
     if gap <= 0:
         raise ValueError("gap must be positive")
-    rows = events.select(key.alias("key"), at.cast("long").alias("at"), *([event_id.alias("id")] if event_id is not None else []))
+    sums, first = sums or {}, first or {}
+    extra = [c.alias(f"s_{n}") for n, c in sums.items()] + [c.alias(f"f_{n}") for n, c in first.items()]
+    rows = events.select(key.alias("key"), at.cast("long").alias("at"), *([event_id.alias("id")] if event_id is not None else []), *extra)
     rows = rows.filter(F.col("key").isNotNull() & F.col("at").isNotNull())
     if event_id is not None:
         rows = rows.distinct()
     cell = F.floor(F.col("at") / gap) if gap == 1 else (F.col("at") - F.pmod(F.col("at"), F.lit(gap))) / gap
+    kept = [F.coalesce(F.sum(f"s_{n}"), F.lit(0)).alias(f"s_{n}") for n in sums]
+    kept += [F.min(F.struct("at", f"f_{n}")).alias(f"f_{n}") for n in first]
     scratch = Scratch(events.sparkSession, "sessions")
     cells = scratch.save(
-        rows.groupBy("key", cell.cast("long").alias("cell")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
+        rows.groupBy("key", cell.cast("long").alias("cell")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"), *kept)
     )
     before = cells.select("key", (F.col("cell") + 1).alias("cell"), F.col("hi").alias("last"))
     pointers = scratch.save(
@@ -54,6 +59,6 @@ def sessions(events: DataFrame, key: Column, at: Column, gap: int, event_id: Col
     return (
         cells.join(pointers.select("key", "cell", F.col("to").alias("root")), ["key", "cell"])
         .groupBy("key", "root")
-        .agg(F.min("lo").alias("session_start"), F.max("hi").alias("session_end"), F.sum("n").alias("events"))
-        .select("key", "session_start", "session_end", (F.col("session_end") - F.col("session_start")).alias("duration"), "events")
+        .agg(F.min("lo").alias("session_start"), F.max("hi").alias("session_end"), F.sum("n").alias("events"), *[F.sum(f"s_{n}").alias(n) for n in sums], *[F.min(f"f_{n}")[f"f_{n}"].alias(n) for n in first])
+        .select("key", "session_start", "session_end", (F.col("session_end") - F.col("session_start")).alias("duration"), "events", *sums, *first)
     )
