@@ -95,7 +95,7 @@ def evidence(path: str, diff: str) -> str | None:
     text = "\n".join(lines)
     if IDIOM.search(text) and len(IDIOM.findall(text)) >= 0.5 * len(lines):
         return "generated"
-    if f["uniformity"] >= 0.85 and f["shape_tokens"] >= 24 and len(lines) >= 4:
+    if f["uniformity"] >= 0.85 and (f["shape_tokens"] >= 24 and len(lines) >= 4 or f["shape_tokens"] >= 16 and len(lines) >= 6):
         return "generated"
     return None
 

@@ -106,9 +106,12 @@ class Model:
         table, weights, bias = self.parts
         return 1 / (1 + np.exp(-(mean_of(table, cols, vals) @ weights + bias)))
 
-    def gradient(self, cols, vals, labels: np.ndarray) -> list[np.ndarray]:
-        """Summed gradient of the logistic losses over the given texts."""
+    def gradient(self, cols, vals, labels: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None) -> list[np.ndarray]:
+        """Summed gradient of the logistic losses over the given texts, each with a share ``drop`` of its features left out at random."""
         table, weights, bias = self.parts
+        if drop:
+            keep = [rng.random(len(c)) >= drop for c in cols]
+            cols, vals = [c[k] for c, k in zip(cols, keep)], [v[k] / (1 - drop) for v, k in zip(vals, keep)]
         h = mean_of(table, cols, vals)
         g = (1 / (1 + np.exp(-(h @ weights + bias))) - labels).astype(np.float32)
         back = g @ weights.T
@@ -136,8 +139,8 @@ def document_frequencies(documents: DataFrame, least_share: float) -> tuple[dict
     return {r["term"]: float(np.log((n + 1) / r["n"])) for r in df.toLocalIterator()}, n
 
 
-def train(labelled: DataFrame, subjects: list[str], features: Features, buckets: int, dim: int, steps: int, rate: float, parts: int) -> Model:
-    """labelled: text, subjects (array). Synchronous data-parallel training; the same result however it is scheduled."""
+def train(labelled: DataFrame, subjects: list[str], features: Features, buckets: int, dim: int, steps: int, rate: float, parts: int, drop: float) -> Model:
+    """labelled: text, subjects (array). Synchronous data-parallel training; features are left out at random by step and partition."""
     spark = labelled.sparkSession
     scratch = Scratch(spark, "subjects")
     where = {s: i for i, s in enumerate(subjects)}
@@ -165,14 +168,15 @@ def train(labelled: DataFrame, subjects: list[str], features: Features, buckets:
     for step in range(1, steps + 1):
         now = spark.sparkContext.broadcast(model.parts)
 
-        def slope(batches, now=now):
-            model, acc, part = Model(*now.value), None, -1
+        def slope(batches, now=now, step=step):
+            model, acc, part, rng = Model(*now.value), None, -1, None
             for b in batches:
                 if not len(b):
                     continue
                 part = max(part, int(b["part"].iloc[0]))
+                rng = rng or np.random.default_rng((step, part))
                 take = lambda c, t: [np.frombuffer(x, t) for x in b[c]]
-                g = model.gradient(take("c", np.int32), take("v", np.float32), np.stack(take("y", np.float32)))
+                g = model.gradient(take("c", np.int32), take("v", np.float32), np.stack(take("y", np.float32)), drop, rng)
                 acc = g if acc is None else [x + y for x, y in zip(acc, g)]
             if acc is not None:
                 # only the rows that some text touches are sent
@@ -191,13 +195,13 @@ def train(labelled: DataFrame, subjects: list[str], features: Features, buckets:
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.999 * v[i] + 0.001 * d * d
             model.parts[i] = (p - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        now.unpersist()
+        now.destroy()
     return model
 
 
 def assign(
     documents: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_doc: Column, label: Column, subjects: list[str],
-    least_share: float = 0.001, buckets: int = 1 << 16, dim: int = 16, steps: int = 45, rate: float = 0.05, parts: int = 6, threshold: float = 0.35, max_labelled: int = 20_000,
+    least_share: float = 0.001, buckets: int = 1 << 16, dim: int = 16, steps: int = 50, rate: float = 0.05, parts: int = 6, drop: float = 0.9, threshold: float = 0.25, max_labelled: int = 20_000,
 ) -> DataFrame:
     """(doc_id, subject, score): every subject whose score reaches ``threshold``; a document may have several or none.
 
@@ -212,7 +216,7 @@ def assign(
     idf, _ = document_frequencies(d, least_share)
     features = Features(idf, buckets)
     labelled = d.filter("text is not null")
-    model = train(labelled.join(known, "doc_id"), subjects, features, buckets, dim, steps, rate, parts)
+    model = train(labelled.join(known, "doc_id"), subjects, features, buckets, dim, steps, rate, parts, drop)
     sent = d.sparkSession.sparkContext.broadcast((features, model.parts, subjects))
     kind = dict(d.dtypes)["doc_id"]
     fitted = known.limit(1).count() > 0
