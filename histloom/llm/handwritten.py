@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histloom.tables import Scratch
+
 # Names that package managers, bundlers and generators give, folders of copied code.
 LOCK_NAMES = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml composer.lock poetry.lock pipfile.lock gemfile.lock cargo.lock go.sum mix.lock podfile.lock flake.lock uv.lock bun.lockb packages.lock.json".split()
 COPY_FOLDERS = "node_modules bower_components jspm_packages vendor vendored third_party third-party thirdparty 3rdparty external externals deps godeps site-packages dist-packages carthage pods".split()
@@ -129,7 +131,8 @@ def classify(changes: DataFrame, project: Column, new_path: Column, old_path: Co
     # pointless to lex what the path settles; the diff of such a change is not sent to Python
     told = named(F.col("_path"))
     judged = base.withColumn("_diff", F.when(told.isNull(), F.col("_diff")).otherwise("")).mapInPandas(read, schema).withColumn("reason", F.coalesce(named(F.col("_path")), F.col("_why")))
-    judged = judged.withColumn("_files", F.array_distinct(F.array_compact(F.array("_path", "_old"))))
+    # kept, as both sides of the join below read it: the texts are lexed once
+    judged = Scratch(changes.sparkSession, "handwritten").save(judged.withColumn("_files", F.array_distinct(F.array_compact(F.array("_path", "_old")))).drop("_path", "_old", "_why"))
     known = judged.filter("reason is not null").select(F.coalesce("_project", F.lit("")).alias("p"), F.explode("_files").alias("f"), F.col("reason").alias("r")).groupBy("p", "f").agg(F.min("r").alias("r"))
     own = judged.select(*keys, F.coalesce("_project", F.lit("")).alias("p"), F.explode_outer("_files").alias("f"), "reason")
     return own.join(known, ["p", "f"], "left").withColumn("reason", F.coalesce("reason", "r")).filter("reason is not null").groupBy(*keys).agg(F.min("reason").alias("reason"))
