@@ -201,7 +201,7 @@ def train(labelled: DataFrame, subjects: list[str], features: Features, buckets:
 
 def assign(
     documents: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_doc: Column, label: Column, subjects: list[str],
-    least_share: float = 0.001, buckets: int = 1 << 16, dim: int = 16, steps: int = 50, rate: float = 0.05, parts: int = 6, drop: float = 0.9, threshold: float = 0.25, max_labelled: int = 20_000,
+    least_share: float = 0.001, buckets: int = 1 << 16, dim: int = 16, steps: int = 50, rate: float = 0.05, parts: int = 6, drop: float = 0.9, threshold: float = 0.2, max_labelled: int = 20_000,
 ) -> DataFrame:
     """(doc_id, subject, score): every subject whose score reaches ``threshold``; a document may have several or none.
 
