@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,18 +18,31 @@ WEIGHTS = {"added": 1.0, "deleted": 0.25, "updated": 0.75, "moved": 0.1}
 
 def delta_counts(m: Column) -> Column:
     """added, deleted, updated and moved lines of a change, and its weighted delta; all 0 for files that are skipped."""
-    a, d = line_texts(m["diff_parsed"]["added"]), line_texts(m["diff_parsed"]["deleted"])
-    gone = F.array_distinct(F.filter(F.transform(d, rules.stripped), lambda x: x != ""))
-    moved = F.array_distinct(F.filter(a, lambda x: (rules.stripped(x) != "") & F.array_contains(gone, rules.stripped(x))))
-    count = lambda c: F.size(F.filter(c, lambda x: rules.delta_line(x) & ~F.array_contains(moved, x)))
-    # a fifth of the pairs of raw additions and deletions is not an update
-    pairs = F.greatest(F.least(F.size(a) - F.size(moved), F.size(d) - F.size(moved)), F.lit(0))
-    updated = F.floor(pairs * 8 / 10).cast("int")
+    texts = F.struct(line_texts(m["diff_parsed"]["added"]).alias("a"), line_texts(m["diff_parsed"]["deleted"]).alias("d"))
+
+    def with_moved(t: Column) -> Column:
+        gone = F.array_distinct(F.filter(F.transform(t["d"], rules.stripped), lambda x: x != ""))
+        return bound(gone, lambda g: F.struct(t["a"].alias("a"), t["d"].alias("d"), F.array_distinct(F.filter(t["a"], lambda x: F.array_contains(g, rules.stripped(x)))).alias("moved")))
+
+    def counted(t: Column) -> Column:
+        n = lambda c: F.size(F.filter(c, lambda x: rules.delta_line(x) & ~F.array_contains(t["moved"], x)))
+        # a fifth of the pairs of raw additions and deletions is not an update
+        pairs = F.greatest(F.least(F.size(t["a"]), F.size(t["d"])) - F.size(t["moved"]), F.lit(0))
+        return F.struct(n(t["a"]).alias("added"), n(t["d"]).alias("deleted"), F.floor(pairs * 8 / 10).cast("int").alias("updated"), F.size(t["moved"]).alias("moved"))
+
+    def weighed(v: Column) -> Column:
+        delta = sum((v[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
+        return F.struct(*[v[k].alias(f"d_{k}") for k in WEIGHTS], delta.alias("delta"))
+
     skip = rules.skipped_file(m["filename"]) | m["diff_parsed"].isNull()
-    v = {"added": count(a), "deleted": count(d), "updated": updated, "moved": F.size(moved)}
-    delta = sum((v[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    zero = F.struct(*[F.lit(0).alias(f"d_{k}") for k in v], F.lit(0.0).alias("delta"))
-    return F.when(F.coalesce(skip, F.lit(True)), zero).otherwise(F.struct(*[c.alias(f"d_{k}") for k, c in v.items()], delta.alias("delta")))
+    zero = F.struct(*[F.lit(0).alias(f"d_{k}") for k in WEIGHTS], F.lit(0.0).alias("delta"))
+    # each step's value is bound once; written out in place, the steps would multiply
+    return F.when(F.coalesce(skip, F.lit(True)), zero).otherwise(bound(bound(bound(texts, with_moved), counted), weighed))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with value computed once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def diff_delta(commits: DataFrame, changes: DataFrame, scope: list[str], weekly: bool) -> DataFrame:
@@ -35,15 +50,17 @@ def diff_delta(commits: DataFrame, changes: DataFrame, scope: list[str], weekly:
     by = [*scope, "dev", *(["week"] if weekly else [])]
     c = commits.withColumn("week", monday(F.col("local"))).groupBy(*by).agg(F.count(F.lit(1)).alias("commits"), F.countDistinct(F.to_date("local")).alias("active_days"))
     f = changes.withColumn("week", monday(F.col("local"))).groupBy(*by).agg(
-        F.sum("dd.delta").alias("diff_delta"), *[F.sum(f"dd.d_{k}").alias(f"lines_{k}") for k in WEIGHTS], F.countDistinct("filename").alias("files_changed")
+        *[F.sum(f"dd.d_{k}").alias(f"lines_{k}") for k in WEIGHTS], F.countDistinct("filename").alias("files_changed")
     )
     r = f.select(*[F.col(k).alias(f"_{k}") for k in by], *[k for k in f.columns if k not in by])
     cond = F.lit(True)
     for k in by:
         cond = cond & c[k].eqNullSafe(r[f"_{k}"])
     j = c.join(r, cond, "left")
-    num = ["diff_delta", *[f"lines_{k}" for k in WEIGHTS], "files_changed"]
+    num = [*[f"lines_{k}" for k in WEIGHTS], "files_changed"]
     out = j.select(*by, "commits", "active_days", *[F.coalesce(n, F.lit(0)).alias(n) for n in num])
+    # weighed after the sums of whole numbers, so the result does not depend on their order
+    out = out.withColumn("diff_delta", sum((F.col(f"lines_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)))
     return out.withColumn("velocity_per_day", F.col("diff_delta") / F.greatest("active_days", F.lit(1)))
 
 

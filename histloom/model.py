@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from histloom.functions.files import exploded
 from histloom.functions.text import instant, strip
 
 
@@ -19,7 +20,7 @@ def _commit_columns() -> dict[str, Column]:
         "repo": F.col("project_name"), "msg": F.col("msg"), "author": F.col("author.name"), "email": strip(F.col("author.email")), "dev": F.lower(strip(F.col("author.email"))),
         "ts": instant(date, F.col("committer_timezone")), "local": local(date), "author_ts": instant(F.col("author_date"), F.col("author_timezone")), "author_local": local(F.col("author_date")),
         "lines": F.coalesce("lines", F.lit(0)), "insertions": F.coalesce("insertions", F.lit(0)), "deletions": F.coalesce("deletions", F.lit(0)),
-        "n_files": F.coalesce(F.size("modified_files"), F.lit(0)), "is_merge": F.coalesce("merge", F.lit(False)),
+        "n_files": F.coalesce(F.size(F.col("modified_files.change_type")), F.lit(0)), "is_merge": F.coalesce("merge", F.lit(False)),
     }
 
 
@@ -36,11 +37,14 @@ def changes_view(raw: DataFrame, fields: dict[str, Callable[[Column], Column]] |
     What is computed here is computed before the deliveries are merged, so wide texts are not shuffled unless asked for.
     """
     cc = {k: v for k, v in _commit_columns().items() if k in ("repo", "msg", "author", "email", "dev", "ts", "local", "author_local")}
-    m = F.col("m")
-    own = {
-        "filename": m["filename"], "new_path": m["new_path"], "old_path": m["old_path"], "kind": m["change_type_name"], "added": F.coalesce(m["added_lines"], F.lit(0)), "deleted": F.coalesce(m["deleted_lines"], F.lit(0)),
-    } | {n: f(m) for n, f in (fields or {}).items()}
-    rows = raw.filter("hash is not null and error is null").select("hash", "extracted_at", *[c.alias(f"c_{n}") for n, c in cc.items()], F.posexplode("modified_files").alias("file_idx", "m"))
+    plain = lambda n: lambda m: m[n]
+    count = lambda n: lambda m: F.coalesce(m[n], F.lit(0))
+    wanted = {
+        "filename": plain("filename"), "new_path": plain("new_path"), "old_path": plain("old_path"), "kind": plain("change_type_name"), "added": count("added_lines"), "deleted": count("deleted_lines"),
+    }
+    array, own = exploded(wanted | (fields or {}))
+    rows = raw.filter("hash is not null and error is null").select("hash", "extracted_at", *[c.alias(f"c_{n}") for n, c in cc.items()], array.alias("files"))
+    rows = rows.select("*", F.posexplode("files").alias("file_idx", "m"))
     rows = rows.select("hash", "file_idx", "extracted_at", F.struct(*[F.col(f"c_{n}").alias(n) for n in cc], *[c.alias(n) for n, c in own.items()]).alias("v"))
     return rows.groupBy("hash", "file_idx").agg(F.min_by("v", "extracted_at").alias("v")).select("hash", "file_idx", "v.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histloom.functions.files import members
 from histloom.functions.text import clean_email, instant
 from histloom.operators.hotkeys import key_statistics
 from histloom.operators.nested import history_tables
@@ -32,7 +33,7 @@ def _statistics(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "commits")
     keys = {"author.email": clean_email(F.col("author.email")), "project_name": F.nullif(F.col("project_name"), F.lit(""))}
     # the identity of a file: its path within its project
-    files = F.transform("modified_files", lambda m: F.concat_ws("\x1f", "project_name", F.coalesce(m["new_path"], m["old_path"])))
+    files = F.transform(members("new_path", "old_path"), lambda m: F.concat_ws("\x1f", "project_name", F.coalesce(m["new_path"], m["old_path"])))
     return key_statistics(c, keys, F.col("hash"), F.col("lines"), files)
 
 

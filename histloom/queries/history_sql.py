@@ -71,7 +71,7 @@ def _velocity(week: str) -> str:
     return f"""{BASE}{_DELTA} select x.*, coalesce(y.diff_delta, 0) diff_delta, coalesce(y.lines_added, 0) lines_added, coalesce(y.lines_deleted, 0) lines_deleted, coalesce(y.lines_updated, 0) lines_updated, coalesce(y.lines_moved, 0) lines_moved,
  coalesce(y.files_changed, 0) files_changed, coalesce(y.diff_delta, 0) / greatest(1, x.active_days) velocity_per_day
  from (select dev{w}, count(*) commits, count(distinct local_::date) active_days from c group by {k}) x left join
- (select dev{w}, sum(delta) diff_delta, sum(d_added) lines_added, sum(d_deleted) lines_deleted, sum(d_updated) lines_updated, sum(d_moved) lines_moved, count(distinct filename) files_changed from d3 group by {k}) y on {on}"""
+ (select dev{w}, sum(d_added) * 1.0::double + sum(d_deleted) * 0.25::double + sum(d_updated) * 0.75::double + sum(d_moved) * 0.1::double diff_delta, sum(d_added) lines_added, sum(d_deleted) lines_deleted, sum(d_updated) lines_updated, sum(d_moved) lines_moved, count(distinct filename) files_changed from d3 group by {k}) y on {on}"""
 
 
 _AGES = rf""",
@@ -123,7 +123,7 @@ _REPORTS = f"""{BASE} select username, repo_name, url, start_date, end_date, coa
  left join (select repo, count(*) n, sum(insertions) a, sum(deletions) r, strftime(min(author_local), '%Y-%m-%d %H:%M:%S') start_date, strftime(max(author_local), '%Y-%m-%d %H:%M:%S') end_date from c group by repo) on repo = repo_name"""
 _VW = f"{_velocity('w')}"
 _WEEKLY = f"""{BASE}{_DELTA}{_AGES}{_HOURS},
-vx as (select dev, {_MON} as week, count(distinct local_::date) active_days from c group by all), vy as (select dev, {_MON} as week, sum(delta) diff_delta, sum(d_added) lines_added, sum(d_updated) lines_updated, sum(d_deleted) lines_deleted, sum(d_moved) lines_moved from d3 group by all),
+vx as (select dev, {_MON} as week, count(distinct local_::date) active_days from c group by all), vy as (select dev, {_MON} as week, sum(d_added) * 1.0::double + sum(d_deleted) * 0.25::double + sum(d_updated) * 0.75::double + sum(d_moved) * 0.1::double diff_delta, sum(d_added) lines_added, sum(d_updated) lines_updated, sum(d_deleted) lines_deleted, sum(d_moved) lines_moved from d3 group by all),
 v as (select vx.dev, vx.week, coalesce(diff_delta, 0) diff_delta, coalesce(lines_added, 0) lines_added, coalesce(lines_updated, 0) lines_updated, coalesce(lines_deleted, 0) lines_deleted, coalesce(lines_moved, 0) lines_moved, coalesce(diff_delta, 0) / greatest(1, active_days) velocity_per_day, active_days from vx left join vy on vx.dev is not distinct from vy.dev and vx.week = vy.week),
 hh as (select dev, strftime(date_trunc('week', ls), '%Y-%m-%d') as week, round_even(sum(hours), 2) estimated_hours, count(*) sessions, round_even(sum(hours) / greatest(1, count(distinct ls::date)), 2) hours_per_day from ss group by all),
 wks as (select coalesce(v.dev, pv.dev, hh.dev) dev, coalesce(v.week, pv.week, hh.week) as week, coalesce(diff_delta, 0) diff_delta, coalesce(lines_added, 0) lines_added, coalesce(lines_updated, 0) lines_updated, coalesce(lines_deleted, 0) lines_deleted, coalesce(lines_moved, 0) lines_moved,
