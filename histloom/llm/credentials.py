@@ -224,7 +224,7 @@ def find(diff: str, filename: str = "") -> list[Finding]:
                 trust = config or upper or m.group(2) == "=" and text.startswith(("export ", "ENV ", "      - "))
                 keyed = sensitive(key) or KEYISH.search(key) and looks_random(bare) and not HARMLESS.search(key)
                 if m.group(2) != " " or sensitive(key):
-                    good = plausible(bare) if trust else looks_random(bare, 12) and plausible(bare) and not re.search(r"[()\[\]{};]", bare)
+                    good = plausible(bare) if trust else (looks_random(bare, 12) or re.search(r"[!?#%*$^&@]", bare)) and plausible(bare) and not re.search(r"[()\[\]{};]", bare)
                     if keyed and good and not any(a < e and s < b for _, a, b in hits) and not (m.group(2).strip() == "" and not config):
                         hits.append(("secret", s, e))
         if hits:

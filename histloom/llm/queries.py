@@ -46,9 +46,8 @@ def p4_shares(spark, d):
 
 
 def _reasons(spark, d):
-    c = table(spark, d, "commits").filter("hash is not null")
-    mf = c.select("hash", "project_name", F.posexplode("modified_files").alias("file_pos", "m"))
-    return handwritten.classify(mf, F.col("project_name"), F.col("m.new_path"), F.col("m.old_path"), F.col("m.filename"), F.col("m.diff"), ["hash", "file_pos"])
+    f = file_changes(table(spark, d, "commits"), "new_path", "old_path", "filename", "diff", also=("project_name",))
+    return handwritten.classify(f, F.col("project_name"), F.col("new_path"), F.col("old_path"), F.col("filename"), F.col("diff"), ["hash", "file_pos"])
 
 
 def p5_found(spark, d):
