@@ -270,7 +270,7 @@ def m_merged(s: SparkSession, d: str) -> DataFrame:
         m = merge.merge(name, rows)
         keys = merge.RULES[name][0]
         nums = [x for x in m.columns if x not in keys]
-        sums = m.agg(*[F.sum(x).cast("double").alias(x) for x in nums]).select(F.lit(name).alias("metric"), F.explode(F.create_map(*[y for x in nums for y in (F.lit(x), F.col(x))])).alias("column", "total"))
+        sums = m.agg(*[F.round(F.sum(x).cast("double"), 6).alias(x) for x in nums]).select(F.lit(name).alias("metric"), F.explode(F.create_map(*[y for x in nums for y in (F.lit(x), F.col(x))])).alias("column", "total"))
         out = sums if out is None else out.unionByName(sums)
     return out
 

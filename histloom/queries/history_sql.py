@@ -208,6 +208,48 @@ SQL = {
 }
 
 
+def _words(lang: str) -> str:
+    return f"case {lang} " + " ".join(f"when {_q(k)} then [{', '.join(map(_q, w.split()))}]" for k, w in rules.KEYWORDS.items()) + " else [] end"
+
+
+_BARE = _strip("line")
+_WORD = f"lower({_strip('regexp_replace(line, ' + _q('[:;]+$') + ', ' + _q('') + ')')})"
+_LONG = f"(regexp_matches(line, '[a-zA-Z0-9]{{20,}}') and length({_strip('regexp_replace(line, ' + _q('[a-zA-Z0-9]{20,}') + ', ' + _q('') + ', ' + _q('g') + ')')}) < length({_BARE}) * 0.3)"
+_REPEAT = "regexp_matches(line, '_{5,}|={5,}|-{5,}')"
+_FEW = "(length(line) > 200 and len(list_distinct(string_split(replace(line, ' ', ''), ''))) < 10)"
+_SYNTAX = rf"""(regexp_matches(line, {_q(rules.BRACE_ONLY)}) or (list_contains({_words('lang')}, replace({_WORD}, ' ', '_')) and not contains({_WORD}, '_')) or (lang = 'ruby' and {_BARE} = 'end')
+ or (lang = 'xml' and regexp_matches(line, '^\s*<[^>]*>\s*$')) or (lang in ('yaml', 'json') and {_BARE} in ('{{', '}}', '[', ']', '-')))"""
+SQL["f_line_rules"] = rf"""{BASE}, l as (select distinct {_language('filename')} as lang, unnest({_TXT.format('added')}) line from f where filename is not null)
+ select lang as language, count(*) lines, count(*) filter ({_BARE} = '') noop, count(*) filter (length({_BARE}) > 1 and not regexp_matches(line, {_q(rules.delta_drop_pattern)})) delta,
+ count(*) filter (length({_BARE}) > 1 and not regexp_matches({_BARE}, '^(#|//|/\*|\*|<!--)')) provenance, count(*) filter (length({_BARE}) >= 3 and not regexp_matches({_BARE}, '^(//|#|/\*|\*|import |from |using |require)')) as hours,
+ count(*) filter ({_LONG}) long_sequences, count(*) filter (not {_LONG} and {_REPEAT}) repeated_chars, count(*) filter (not {_LONG} and not {_REPEAT} and {_FEW}) repetitive, count(*) filter ({_SYNTAX}) only_syntax,
+ count(*) filter ({_BARE} <> '' and not {_LONG} and not {_REPEAT} and not {_FEW} and not {_SYNTAX}) meaningful from l group by lang"""
+SQL["a19_unrealistic_commits"] = f"""{BASE}, z0 as (select c.repo, c.author, c.ts, c.hash, coalesce(sum(f.added + f.deleted), 0) n from c left join f using (hash) group by all), z as (select *, row_number() over (partition by repo, author order by ts, hash) k from z0),
+ v as (select repo, author, k, case when n > 5000 then 'large_commit' else 'accepted' end verdict, case when n > 5000 then null else ts end last_ from z where k = 1
+  union all select z.repo, z.author, z.k, case when z.n > 5000 then 'large_commit' when z.n > 1000 and v.last_ is not null and z.ts - v.last_ < 600 then 'rapid_large_commit' else 'accepted' end,
+   case when z.n > 5000 or (z.n > 1000 and v.last_ is not null and z.ts - v.last_ < 600) then v.last_ else z.ts end from v join z on z.repo is not distinct from v.repo and z.author is not distinct from v.author and z.k = v.k + 1)
+ select repo, verdict, count(*) commits from v group by all"""
+_PART = "length(repo) % 2"
+SQL["m_merged"] = f"""{BASE}{_DELTA},
+ s1 as (select {_PART} part, max(n_files) a, avg(n_files) b from c group by 1), x1 as (select max(a)::double a, avg(b) b from s1),
+ s2 as ({_CHURN.format('part', _PATH, f'(select *, {_PART} part from f)')}), x2 as (select sum(total_count) a, max(total_max) b, round_even(avg(total_avg), 0) c, sum(net_count) d, max(net_max) e, round_even(avg(net_avg), 0) f, sum(added) g, sum(removed) h from s2),
+ q1 as (select {_PART} part, dev, {_MON} as week, count(*) commits, count(distinct local_::date) active_days from c group by all),
+ q2 as (select {_PART} part, dev, {_MON} as week, sum(d_added) la, sum(d_deleted) ld, sum(d_updated) lu, sum(d_moved) lm, count(distinct filename) fc from d3 group by all),
+ q3 as (select q1.dev, q1.week, sum(commits) commits, sum(active_days) active_days, sum(coalesce(la, 0)) la, sum(coalesce(ld, 0)) ld, sum(coalesce(lu, 0)) lu, sum(coalesce(lm, 0)) lm, sum(coalesce(fc, 0)) fc,
+   sum(coalesce(la * 1.0::double + ld * 0.25::double + lu * 0.75::double + lm * 0.1::double, 0)) dd from q1 left join q2 on q1.part = q2.part and q1.dev is not distinct from q2.dev and q1.week = q2.week group by all),
+ x3 as (select sum(dd) a, sum(commits) b, sum(active_days) c, sum(fc) d, sum(la) e, sum(ld) f, sum(lu) g, sum(lm) h, sum(dd / greatest(1, active_days)) i from q3),
+ s4 as (select sum(added + deleted)::double n from f where added + deleted > 0),
+ s5 as (select {_PART} part, filename path, sum(case when {_FIX} then added + deleted else 0 end) b, sum(added + deleted) n from f group by all), g5 as (select path, sum(b) b, sum(n) n, avg(case when n > 0 then b / n * 100 else 0 end) p from s5 group by path),
+ x5 as (select sum(p) a, sum(b) b, sum(n) c, sum(case when n > 0 then b / n * 100 else 0 end) d from g5)
+ select metric, col as "column", round(tot::double, 6) total from (""" + " union all ".join(
+    f"select '{m}' metric, '{c}' col, {e} tot from {t}" for m, t, cols in (
+        ("change_set", "x1", {"max_files": "a", "avg_files": "b"}), ("code_churn", "x2", {"total_count": "a", "total_max": "b", "total_avg": "c", "net_count": "d", "net_max": "e", "net_avg": "f", "added": "g", "removed": "h"}),
+        ("diff_delta", "x3", {"diff_delta": "a", "commits": "b", "active_days": "c", "files_changed": "d", "lines_added": "e", "lines_deleted": "f", "lines_updated": "g", "lines_moved": "h", "velocity_per_day": "i"}),
+        ("code_domain", "s4", {"lines": "n"}), ("bugs", "x5", {"bug_percent": "a", "bug_lines": "b", "lines": "c", "overall_percent": "d"}),
+    ) for c, e in cols.items()
+) + ")"
+
+
 def _exact(sql: str) -> str:
     """round_even with digits, spelt out: the built-in macro misjudges ties of doubles that are not exact."""
     while (m := re.search(r"round_even\((?!.*round_even\().*?$", sql, re.S)) and (end := _close(sql, m.start() + 10)):
