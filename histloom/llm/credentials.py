@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -54,7 +55,37 @@ YAML_KEY = re.compile(r"^(\s*)(?:-\s+)?[\"']?([\w.\-/ ]+?)[\"']?\s*[:=]\s*(?:[|>
 BLOCK_KEY = re.compile(r"^\s*(?:variable|resource|output|data|secret)\s+\"([^\"]+)\"")
 DESCRIBED = re.compile(r"(?i)\bdescription\s*=\s*\"[^\"]*(?:password|secret|token|\bkey\b|credential)")
 CONFIG = set("yml yaml json properties env ini cfg conf toml xml tf tfvars hcl netrc npmrc pypirc pgpass local production development staging test".split())
-PREFILTER = r"(?i)pass|pwd|secret|token|credential|key|auth|bearer|pw|psw|mdp|geheim|kennwort|contrase|passe|clave|senha|wachtwoord|parola|has[l\u0142]o|senord|[\"']\s*\+|@[\w.-]+[\"']\s*,|-----BEGIN|://[^\s/]*:[^\s/]*@|signature|sig=|hooks?\.|ghp_|gh[ousr]_|sk_live|rk_live|AKIA|ASIA|xox[abprs]-|eyJ|AIza|glpat-|npm_|SG\.|hf_|-u\s|user\s|login|log_in|sign_?in|connect|: [^:]+ [/|] \S|:(?:\d+|\*):"
+WORDS = "pass pw psw secret token credential key auth mdp geheim kennwort contrase clave senha wachtwoord parola hasl hasł senord".split()
+# Where a literal may go on: a joiner and a literal behind it, or a literal at the start of the next line.
+JOIN = re.compile(r"""["'`](?=[^\S\n]*(?:\+|\.|<>|&|\\)[^\S\n]*[rbuf]?["']|[ \t+.&\\]*\n[+-][^\S\n]*(?:\+|\.|<>|&|\|\||\\)?[^\S\n]*[rbuf]?["'])""")
+NAMED = ["default", "value", "data"]  # keys that take their name from the lines around
+# For each rule what a line must hold for it to match there, one of these being enough: literals in folded case, or patterns.
+NEEDS = [
+    (ADDRESS, ["://"]), (SIGNED, ["sig=", "signature=", "token", "key", "auth"]), (HOOK, ["hook"]), (NETRC, ["machine"]), (NPMRC, ["/:_"]), (PGPASS, [re.compile(r":(?:\d+|\*):")]), (HEADER, ["auth", "token", "key"]), (USERPASS, ["-u"]), (CONNECTION, ["pass", "pw", "key"]),
+    (LOGIN, ["auth", "login", "log_in", "signin", "sign_in", "pass", "credential", "connect"]), (NOTE, [" / ", " | ", " : "]), (PAIR, [re.compile(r"@[\w.-]+[\"']\s*,")]), (SHORT, ["-u", "-d"]), (OPTION, ["pass", "token", "secret", "key"]), (XML, WORDS), (XML_ATTR, WORDS), (BLOCK, ["-----begin"]),
+    (ISSUED, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "_live_", "akia", "asia", "xox", "aiza", "npm_", "sg.", "hf_", "eyj"]), (QUOTED, [*WORDS, *NAMED, JOIN]), (LINEKV, WORDS), (YAML_KEY, NAMED),
+]
+BIT = {id(rx): 1 << k for k, (rx, _) in enumerate(NEEDS)}
+HINTS = {h: sum({BIT[id(rx)] for rx, needs in NEEDS if h in needs}) for _, all_needs in NEEDS for h in all_needs}
+
+
+def fold(s: str) -> str:
+    """Lower case as patterns without case see it, length kept."""
+    return s.lower() if s.isascii() else s.replace("ſ", "s").replace("ı", "i").replace("İ", "i").lower()
+
+
+def hinted(diff: str, starts: list[int]) -> dict[int, int]:
+    """Numbers of the lines on which some rule can match, with the bits of those rules. Other lines cannot hold a credential."""
+    out: dict[int, int] = {}
+    low, size = fold(diff), len(diff)
+    for h, bits in HINTS.items():
+        at = low.find(h) if isinstance(h, str) else (m.start() if (m := h.search(diff)) else -1)
+        while at >= 0:
+            i = bisect_right(starts, at) - 1
+            out[i] = out.get(i, 0) | bits
+            at = starts[i + 1] if i + 1 < len(starts) else size
+            at = low.find(h, at) if isinstance(h, str) else (m.start() if (m := h.search(diff, at)) else -1)
+    return out
 
 
 def entropy(s: str) -> float:
@@ -100,64 +131,65 @@ class Finding:
     spans: list[tuple[int, int]] = field(default_factory=list)  # offsets in the diff, exclusive ends
 
 
-def _line_findings(text: str, path: list[str], config: bool) -> list[tuple[str, str, int, int]]:
-    """(key path, kind, start, end) of credentials within one line."""
+def _line_findings(text: str, bits: int) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of credentials within one line, by the rules whose bits are set."""
     out = []
     for rx, kind in ((ADDRESS, "address"), (SIGNED, "address"), (HOOK, "address"), (NETRC, "password"), (NPMRC, "token"), (PGPASS, "password"), (HEADER, "token"), (USERPASS, "password"), (CONNECTION, "password"), (LOGIN, "password"), (NOTE, "password"), (PAIR, "password"), (SHORT, "password")):
+        if not bits & BIT[id(rx)]:
+            continue
         for m in rx.finditer(text):
             v = m.group(1)
             good = plausible(v) if rx in (NETRC, USERPASS, PGPASS, CONNECTION, LOGIN, NOTE, PAIR, SHORT) else not is_reference(v) and (rx in (ADDRESS,) and len(v) >= 4 or looks_random(v, 12) or bool(ISSUED.search(v)))
             if good:
-                out.append((".".join(path), kind, *m.span(1)))
-    for m in OPTION.finditer(text):
+                out.append((kind, *m.span(1)))
+    for m in OPTION.finditer(text) if bits & BIT[id(OPTION)] else ():
         if plausible(m.group(2)) or ISSUED.search(m.group(2)):
-            out.append((".".join(path), "password", *m.span(2)))
-    for m in ISSUED.finditer(text):
-        out.append((".".join(path), "token", *m.span()))
+            out.append(("password", *m.span(2)))
+    for m in ISSUED.finditer(text) if bits & BIT[id(ISSUED)] else ():
+        out.append(("token", *m.span()))
     for rx in (XML, XML_ATTR):
-        for m in rx.finditer(text):
+        for m in rx.finditer(text) if bits & BIT[id(rx)] else ():
             if sensitive(m.group(1)) and plausible(m.group(2).strip()):
-                out.append((m.group(1), "secret", *m.span(2)))
+                out.append(("secret", *m.span(2)))
     return out
 
 
 def find(diff: str, filename: str = "") -> list[Finding]:
     """Credentials on added and deleted lines of a unified diff, in order of where they begin."""
+    starts = [0, *(m.end() for m in re.finditer("\n", diff))]
+    marks = hinted(diff, starts)
+    if not marks:
+        return []
     name = filename.rsplit("/", 1)[-1].lower()
     ext = name.rsplit(".", 1)[-1]
     config = ext in CONFIG or name.startswith((".env", "dockerfile", "docker-compose", "_netrc"))
     if ext in ("pub", "lock", "map", "md", "rst", "txt", "adoc"):
         config = False
-    lines, at, found = diff.split("\n"), 0, []
-    starts = []
-    for x in lines:
-        starts.append(at)
-        at += len(x) + 1
-    i, stack, label = 0, [], ""
+    lines, found = diff.split("\n"), []
+    stack, label = [], ""
     taken: set[int] = set()
-    while i < len(lines):
-        raw = lines[i]
+    named = any(b & BIT[id(YAML_KEY)] for b in marks.values())  # only then the lines around matter
+    for i in range(len(lines)) if named else sorted(marks):
+        raw, bits = lines[i], marks.get(i, 0)
         sign, text, base = raw[:1], raw[1:], starts[i] + 1
         if sign == "@" or not text:
             if sign == "@":
                 stack, label = [], ""
-            i += 1
             continue
-        # key path from indentation, for nested configuration
-        indent = len(text) - len(text.lstrip())
-        while stack and stack[-1][0] >= indent and text.strip() not in ("}", "},", "{"):
-            stack.pop()
-        b = BLOCK_KEY.match(text)
-        if b:
-            label = b.group(1)
-        path = [k for _, k in stack]
-        y = YAML_KEY.match(text)
-        if y:
-            stack.append((indent, y.group(2)))
-        if sign not in "+-" or raw.startswith(("+++ ", "--- ")) or i in taken:
-            i += 1
+        if named:  # key path from indentation, for nested configuration
+            indent = len(text) - len(text.lstrip())
+            while stack and stack[-1][0] >= indent and text.strip() not in ("}", "},", "{"):
+                stack.pop()
+            b = BLOCK_KEY.match(text)
+            if b:
+                label = b.group(1)
+            path = [k for _, k in stack]
+            y = YAML_KEY.match(text) if ":" in text or "=" in text else None
+            if y:
+                stack.append((indent, y.group(2)))
+        if not bits or sign not in "+-" or raw.startswith(("+++ ", "--- ")) or i in taken:
             continue
-        m = BLOCK.search(text)
+        m = BLOCK.search(text) if bits & BIT[id(BLOCK)] else None
         if m:
             end, j = BLOCK_END.search(text, m.end()), i
             f = Finding(i, "private key")
@@ -178,10 +210,9 @@ def find(diff: str, filename: str = "") -> list[Finding]:
                         break
                     j += 1
             found.append(f)
-            i += 1
             continue
-        hits = [(k, s, e) for _, k, s, e in _line_findings(text, path, config)]
-        for m in QUOTED.finditer(text):
+        hits = _line_findings(text, bits)
+        for m in QUOTED.finditer(text) if bits & BIT[id(QUOTED)] else ():
             key, value, s, e = m.group(1), m.group(3), m.start(3), m.end(3)
             pieces, tail, j = [(base + s, base + e)], text[m.end() :], i
             whole = value
@@ -215,7 +246,7 @@ def find(diff: str, filename: str = "") -> list[Finding]:
             if sensitive(name_here) and (plausible(value) or ISSUED.search(value)) or KEYISH.search(name_here) and looks_random(value) and not HARMLESS.search(name_here) and not is_reference(value):
                 hits.append(("secret", s, e))
         if not hits or all(h[0] == "" for h in hits):
-            m = LINEKV.match(text)
+            m = LINEKV.match(text) if bits & BIT[id(LINEKV)] else None
             if m and not m.group(3).startswith(("'", '"', "`", "{", "[", "|", ">")):
                 key, value, s, e = m.group(1), m.group(3), m.start(3), m.end(3)
                 bare = re.split(r"\s+#", value)[0].rstrip(",;")
@@ -237,7 +268,6 @@ def find(diff: str, filename: str = "") -> list[Finding]:
                 else:
                     merged.append((a, b))
             found.append(Finding(i, kind, merged))
-        i += 1
     return sorted(found, key=lambda f: f.line)
 
 
@@ -257,10 +287,10 @@ def redact(diff: str, findings: list[Finding], mark: str = MARK) -> str:
 def scan(changes: DataFrame, filename: Column, diff: Column, keys: list[str]) -> DataFrame:
     """keys, line_no, kind and redacted for each credential; ``redacted`` is the whole diff, on the first finding's row only.
 
-    Null or empty diffs hold nothing. Repeated rows are merged. Diffs without any hint of a credential are ruled out in the JVM by
-    a pattern that is wider than all those in Python; the others are parsed whole, one at a time.
+    Null or empty diffs hold nothing. Repeated rows are merged. All others go to Python, one at a time; a rule is tried on the
+    lines that hold what it cannot match without (``NEEDS``).
     """
-    base = changes.select(*keys, filename.alias("_name"), diff.alias("_diff")).filter(F.col("_diff").rlike(PREFILTER))
+    base = changes.select(*keys, filename.alias("_name"), diff.alias("_diff")).filter(F.length("_diff") > 0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys).schema) + ", line_no int, kind string, redacted string"
 
     def read(batches):
