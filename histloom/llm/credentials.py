@@ -3,7 +3,8 @@
 Lines of a diff are parsed in the formats that configuration and source use (JSON, YAML, properties, environment, XML, HCL,
 netrc, npmrc, assignments, headers, command options, addresses) into entries: a key path and the value's offsets. An entry is a credential
 when its key name is sensitive and its value looks like a secret, or when the value has the shape of an issued token; key blocks and addresses
-that carry a password or signature are found as such. Redactions are spliced into the original text at the offsets.
+that carry a password or signature are found as such. A drawn key cut into pieces counts under any name; beyond 120 characters it does not if
+it looks like data (``is_data``), so a longer key under a neutral name in three or more pieces of one width from 48 is missed. Redactions are spliced into the original text at the offsets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ HARMLESS = re.compile(r"(?i)(?:public|primary|foreign|sort|cache|partition|index
 PLACEHOLDER = re.compile(
     r"(?i)^(?:change[-_ ]?me.*|replace[-_ ]?me.*|your[-_ ].*|my[-_ ]?(?:password|secret|token|key)|<.*>|\[.*\]|\{\{.*|\$\{.*|\$\(.*|\$[A-Za-z_]\w*|%\w+%|%\(.*|@\w+@|#\{.*|!\w+\s.*|(.)\1{3,}|x+|\*+|\.+|-+|todo.*|tbd|fixme|none|null|nil|true|false|undefined|example.*|sample|dummy|fake|placeholder|insert.*|password|passwd|secret|token|test|redacted|vault[:/].*|env[:.].*|secret[:/].*|arn:.*|file:.*|ssm:.*|\s*)$"
 )
+FILE_HEAD = re.compile(r"data:|iVBORw0KGgo|/9j/|R0lGOD|UEsDB|JVBERi|H4sI|AAEAAA|d09GR|PD94|PHN2Zy")
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 ADDRESS = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"<>]*:([^\s/@'\"<>]+)@[\w.-]+")
@@ -102,6 +104,14 @@ def looks_random(v: str, least: int = 16) -> bool:
     return entropy(v) >= 3.0 and bool(re.search(r"[A-Za-z]", v))
 
 
+def is_data(whole: str, widths: list[int]) -> bool:
+    """A long literal in pieces that is no drawn key: the head of a known file, lines filled to one width, other characters than keys have, or worded runs."""
+    if FILE_HEAD.match(whole) or len(widths) > 2 and widths[0] >= 48 and len({*widths[:-1]}) == 1 and widths[-1] <= widths[0] or not re.fullmatch(r"[\w+/=.~-]+", whole):
+        return True
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in whole]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) < 0.3 * len(whole)  # drawn: 0.40 in lower case with digits, 0.47 in hex, 0.62 in mixed case
+
+
 def is_reference(v: str) -> bool:
     return bool(PLACEHOLDER.match(v) or re.search(r"\$\{|\{\{|\$\(|^\$|<[^>]*>|%\(", v) or re.match(r"^[A-Za-z_][\w.]*\(.*\)?;?$", v) or re.match(r"^(?:os\.environ|process\.env|env\.|ENV\[|System\.getenv|config\.|settings\.|self\.|this\.|var\.|local\.|data\.|module\.|secrets?\.)", v))
 
@@ -232,7 +242,7 @@ def find(diff: str, filename: str = "") -> list[Finding]:
                 whole += p.group(2)
                 rest, off = rest[p.end() :], off + p.end()
                 cut = re.match(r"\s*(?:\+|\.|<>|&|\\|$)", rest)
-            drawn = len(pieces) <= 4 and 20 <= len(whole) <= 120 and looks_random(whole, 20) and entropy(whole) >= 3.4
+            drawn = looks_random(whole, 20) and entropy(whole) >= 3.4 and not (len(whole) > 120 and is_data(whole, [b - a for a, b in pieces]))
             if len(pieces) > 1 and (ISSUED.fullmatch(whole) or drawn or (sensitive(key) and (looks_random(whole) or plausible(whole)))):
                 found.append(Finding(i, "token", pieces))
                 taken.update(range(i + 1, j + 1))
