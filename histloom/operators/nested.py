@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +11,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRIPLES = "record string, path string, at array<int>, value string, kind string"
+BATCH = 4_000_000  # characters and ordinals of paths sent on at once
+DECODER = json.JSONDecoder()
+BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _deep(text: str):
+    """As json.loads, with a stack of its own: any depth of nesting."""
+    past = lambda i: BLANK.match(text, i).end()
+
+    def name(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("name expected")
+        key, i = DECODER.raw_decode(text, i)
+        i = past(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("colon expected")
+        return key, past(i + 1)
+
+    within, names, i = [], [], past(0)
+    while True:
+        c = text[i : i + 1]
+        if c and c in "{[":
+            value = {} if c == "{" else []
+            i = past(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                key, i = name(i) if c == "{" else (None, i)
+                within.append(value)
+                names.append(key)
+                continue
+            i += 1
+        else:
+            value, i = DECODER.raw_decode(text, i)
+        while True:  # the value is whole: into what holds it, which may be whole then
+            i = past(i)
+            if not within:
+                if i < len(text):
+                    raise ValueError("extra text")
+                return value
+            top, is_object = within[-1], isinstance(within[-1], dict)
+            if is_object:
+                top[names[-1]] = value
+            else:
+                top.append(value)
+            c = text[i : i + 1]
+            i += 1
+            if c == ",":
+                i = past(i)
+                if is_object:
+                    names[-1], i = name(i)
+                break
+            if c != ("}" if is_object else "]"):
+                raise ValueError("comma or end expected")
+            value = within.pop()
+            names.pop()
+
+
+def _loads(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text)
 
 
 def _shred(doc, embedded: frozenset[str]) -> Iterator[tuple[str, list[int], str | None, str]]:
@@ -19,7 +81,7 @@ def _shred(doc, embedded: frozenset[str]) -> Iterator[tuple[str, list[int], str
         node, path, at, name = todo.pop()
         if isinstance(node, str) and name in embedded and node.lstrip()[:1] in ("[", "{"):
             try:
-                node = json.loads(node)
+                node = _loads(node)
             except ValueError:
                 pass
         if isinstance(node, dict):
@@ -41,22 +103,24 @@ def triples(records: DataFrame, record: Column, payload: Column, embedded: Seque
     first, so (record, path, at) identifies a node. Containers have a row with a null value. Members named
     in ``embedded`` that hold JSON as text are read as if nested. A payload that is null, empty, cut off or
     otherwise not complete JSON gives no rows; a leading byte order mark is skipped. One record is parsed at
-    a time, so memory is bounded by the largest record.
+    a time and whole, not as a stream, so memory is bounded by the largest record; its depth is not bounded.
     """
     names = frozenset(embedded)
 
     def parse(batches):
         for b in batches:
-            out = []
+            out, size = [], 0
             for rec, text in zip(b["record"], b["payload"]):
                 try:
-                    doc = json.loads((text or "").lstrip("﻿"))
-                except (ValueError, RecursionError):
+                    doc = _loads((text or "").lstrip("﻿"))
+                except ValueError:
                     continue
-                out += [(rec, *t) for t in _shred(doc, names)]
-                if len(out) > 20000:
-                    yield pd.DataFrame(out, columns=["record", "path", "at", "value", "kind"])
-                    out = []
+                for t in _shred(doc, names):
+                    out.append((rec, *t))
+                    size += len(t[0]) + len(t[1])  # with depth, every path is longer
+                    if len(out) > 20000 or size > BATCH:
+                        yield pd.DataFrame(out, columns=["record", "path", "at", "value", "kind"])
+                        out, size = [], 0
             if out:
                 yield pd.DataFrame(out, columns=["record", "path", "at", "value", "kind"])
 

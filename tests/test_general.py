@@ -1,9 +1,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from histloom.functions.text import clean_email, instant
+from histloom.operators import nested
 from histloom.operators.hotkeys import eager_join_sum, key_statistics
 from histloom.operators.nested import history_tables, triples
 from histloom.operators.sessions import sessions
@@ -101,3 +103,28 @@ def test_history_tables(spark):
     assert len(t["commits"]) == 6 and ("0", [0], "h", "[1, 2]", "n", None) in t["commits"]
     assert sorted(r[3:6] for r in t["methods"] if r[0] == "1") == [(0, 0, "f"), (0, 0, "f"), (0, 1, "g"), (0, 1, "g")]
     assert triples(df.limit(0), F.col("record"), F.col("payload")).count() == 0
+
+
+def test_deep_payloads(spark):
+    whole = lambda n: '{"commits": [{"hash": "h", "x": ' + '{"a":[' * n + "1" + "]}" * n + "}]}"
+    inner = '{"commits": ' + json.dumps('[{"hash": "i", "x": ' + "[" * 12_000 + "]" * 12_000 + "}]") + "}"
+    with pytest.raises(RecursionError):
+        json.loads(whole(6_000))
+    rows = [("deep", whole(6_000)), ("cut", whole(6_000)[:-1]), ("text", inner)]
+    df = spark.createDataFrame(rows, "r string, p string")
+    got = {(r["record"], r["hash"]) for r in history_tables(df, F.col("r"), F.col("p"))["commits"].collect()}
+    assert got == {("deep", "h"), ("text", "i")}
+
+
+def test_deep_parser_reads_as_json_does():
+    rng, parts = random.Random(2), list('{}[]:,"') + ['"a"', '"a":', "1", "-2.5e3", "null", "true", "NaN", " ", "\n", '"\\u00e9\\""', "x", "\u00a0"]
+    texts = ['{"a": [1, {"b": "c\\n", "b": []}, {}], "d": null}', " [ ] ", "", "1 2", "[1,]", '{"a":1,}', '{"a" 1}'] + ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(20_000)]
+
+    def read(f, x):
+        try:
+            return repr(f(x))
+        except ValueError:
+            return None
+
+    got = [read(json.loads, x) for x in texts]
+    assert [x for x, y in zip(texts, got) if read(nested._deep, x) != y] == [] and sum(y is not None for y in got) > 500
