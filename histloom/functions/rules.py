@@ -55,43 +55,91 @@ DOMAINS: list[tuple[str, str, str, str, list[str]]] = [
     ("game_dev", "gd tres tscn", "project.godot Assembly-CSharp.csproj", "Assets/ Scripts/ Scenes/ Prefabs/ Content/ Source/ game/ engine/", []),
 ]
 
-LANGUAGES = {
-    "apex": "apex cls trigger", "astro": "astro", "c": "c h", "cpp": "cpp cxx cc c++ hpp hxx hh h++", "csharp": "cs", "csx": "csx", "cshtml": "cshtml", "css": "css", "scss": "scss sass",
-    "clojure": "clj cljc edn", "clojurescript": "cljs", "dart": "dart", "elm": "elm", "erb": "erb", "erlang": "erl hrl", "haml": "haml", "haskell": "hs lhs", "go": "go", "idl": "idl pro",
-    "java": "java", "javascript": "js mjs cjs", "jsx": "jsx", "jelly": "jelly", "json": "json jsonc", "markdown": "md markdown mdown mkd mkdown", "ocaml": "ml mli", "objc": "m mm",
-    "pascal": "pas pp inc", "php": "php phtml php3 php4 php5", "perl": "pl pm perl", "python": "py pyw pyi", "r": "r rmd", "ruby": "rb rbw", "rust": "rs", "scala": "scala sc",
-    "shell": "sh bash zsh fish ksh csh tcsh", "sql": "sql psql mysql", "swift": "swift", "typescript": "ts", "tsx": "tsx", "vb": "vb vbs vba", "vbhtml": "vbhtml", "xml": "xml xsl xslt xsd", "yaml": "yaml yml",
+#: Language of each ending.
+LANGUAGE_OF = {
+    "apex": "apex", "cls": "apex", "trigger": "apex", "astro": "astro", "c": "c", "h": "c", "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "c++": "cpp",
+    "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "h++": "cpp", "cs": "csharp", "csx": "csx", "cshtml": "cshtml", "css": "css", "scss": "scss",
+    "sass": "scss", "clj": "clojure", "cljc": "clojure", "edn": "clojure", "cljs": "clojurescript", "dart": "dart", "elm": "elm", "erb": "erb",
+    "erl": "erlang", "hrl": "erlang", "haml": "haml", "hs": "haskell", "lhs": "haskell", "go": "go", "idl": "idl", "pro": "idl", "java": "java",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "jelly": "jelly", "json": "json", "jsonc": "json", "md": "markdown",
+    "markdown": "markdown", "mdown": "markdown", "mkd": "markdown", "mkdown": "markdown", "ml": "ocaml", "mli": "ocaml", "m": "objc", "mm": "objc",
+    "pas": "pascal", "pp": "pascal", "inc": "pascal", "php": "php", "phtml": "php", "php3": "php", "php4": "php", "php5": "php", "pl": "perl",
+    "pm": "perl", "perl": "perl", "py": "python", "pyw": "python", "pyi": "python", "r": "r", "rmd": "r", "rb": "ruby", "rbw": "ruby", "rs": "rust",
+    "scala": "scala", "sc": "scala", "sh": "shell", "bash": "shell", "zsh": "shell", "fish": "shell", "ksh": "shell", "csh": "shell", "tcsh": "shell",
+    "sql": "sql", "psql": "sql", "mysql": "sql", "swift": "swift", "ts": "typescript", "tsx": "tsx", "vb": "vb", "vbs": "vb", "vba": "vb",
+    "vbhtml": "vbhtml", "xml": "xml", "xsl": "xml", "xslt": "xml", "xsd": "xml", "yaml": "yaml", "yml": "yaml",
 }
-# Words that mean nothing on a line of their own, without those that end in a colon (the colon is cut before the comparison).
-_C = "else if for while switch return break continue"
-_T = _C + " catch finally try"
+#: Words that mean nothing on a line of their own, by language. A closing colon is cut from a line before it is compared.
 KEYWORDS = {
-    **dict.fromkeys("apex dart java javascript jsx typescript tsx".split(), _T + " do"), "astro": _T, **dict.fromkeys(("csharp", "csx"), _T + " foreach do"), **dict.fromkeys(("c", "objc"), _C + " do"),
-    **dict.fromkeys(("cpp", "swift"), _C + " catch try do"), **dict.fromkeys(("clojure", "clojurescript"), "if when when-not cond case try catch finally do loop recur"), "elm": "if then else case of",
-    "erlang": "if case of try catch after end receive", "haskell": "if then else case of where let in do", "go": "else if for switch return break continue select go defer",
-    "idl": "if then else endif for endfor while endwhile case endcase switch endswitch", "ocaml": "if then else match with try begin end for while do done",
-    "pascal": "if then else case of for to do while repeat until try except finally begin end", "php": _T + " elseif foreach do", "perl": "else elsif if unless for foreach while until return last next do",
-    "python": "pass return break continue", "r": "if else for in while repeat next break return", "ruby": "else elsif rescue ensure begin end if unless for while until case when return break next",
-    "rust": "else if for while loop match return break continue", "scala": "else catch finally try if for while match case return do",
-    "shell": "if then else elif fi for do done while until case esac return break continue", "sql": "if else end case when then begin return",
-    "vb": "if then else elseif end_if select case end_select for next do loop while try catch finally return",
-}
-BRACE_ONLY = r"(?i)^\s*[\{\}\(\)\[\]]\s*[;,]?\s*$|^\s*\}\s*(else|catch|finally)\s*\{\s*$|^\s*<\s*/?\s*[a-zA-Z][a-zA-Z0-9]*\s*>\s*$"
-
-# Comment delimiters by ending: line; block; other block; documentation (an empty end never closes).
+    "apex": "else if for while switch return break continue catch finally try do".split(),
+    "astro": "else if for while switch return break continue catch finally try".split(),
+    "c": "else if for while switch return break continue do".split(),
+    "clojure": "if when when-not cond case try catch finally do loop recur".split(),
+    "clojurescript": "if when when-not cond case try catch finally do loop recur".split(),
+    "cpp": "else if for while switch return break continue catch try do".split(),
+    "csharp": "else if for while switch return break continue catch finally try foreach do".split(),
+    "csx": "else if for while switch return break continue catch finally try foreach do".split(),
+    "dart": "else if for while switch return break continue catch finally try do".split(),
+    "elm": "if then else case of".split(),
+    "erlang": "if case of try catch after end receive".split(),
+    "go": "else if for switch return break continue select go defer".split(),
+    "haskell": "if then else case of where let in do".split(),
+    "idl": "if then else endif for endfor while endwhile case endcase switch endswitch".split(),
+    "java": "else if for while switch return break continue catch finally try do".split(),
+    "javascript": "else if for while switch return break continue catch finally try do".split(),
+    "jsx": "else if for while switch return break continue catch finally try do".split(),
+    "objc": "else if for while switch return break continue do".split(),
+    "ocaml": "if then else match with try begin end for while do done".split(),
+    "pascal": "if then else case of for to do while repeat until try except finally begin end".split(),
+    "perl": "else elsif if unless for foreach while until return last next do".split(),
+    "php": "else if for while switch return break continue catch finally try elseif foreach do".split(),
+    "python": "pass return break continue".split(),
+    "r": "if else for in while repeat next break return".split(),
+    "ruby": "else elsif rescue ensure begin end if unless for while until case when return break next".split(),
+    "rust": "else if for while loop match return break continue".split(),
+    "scala": "else catch finally try if for while match case return do".split(),
+    "shell": "if then else elif fi for do done while until case esac return break continue".split(),
+    "sql": "if else end case when then begin return".split(),
+    "swift": "else if for while switch return break continue catch try do".split(),
+    "tsx": "else if for while switch return break continue catch finally try do".split(),
+    "typescript": "else if for while switch return break continue catch finally try do".split(),
+    "vb": ["end if", "end select", *"if then else elseif select case for next do loop while try catch finally return".split()],
+}
+#: What opens a comment line, by ending.
 LINE_COMMENT = {
-    "--": "ada adb applescript elm hs lua sql vhdl", "//": "as c c++ cc cfc cfm cpp cs css d dart fs fsi fsx go groovy h hpp hx java js jsx kt kts less pas php rs sass scala scss swift ts tsx zig",
-    ";": "asm au3 clj lisp s scm", "'": "asp aspx bas vb vba vbs", "REM": "bat cmd", "%": "cls erl m tex", "#": "coffee ex exs jl nim nix pl pm ps1 psm1 py pyw r rb sh tcl yaml yml", "!": "f f90 for",
-    "<!--": "htm html markdown md xsl", "(*": "ocaml",
+    "ada": "--", "adb": "--", "applescript": "--", "as": "//", "asm": ";", "asp": "'", "aspx": "'", "au3": ";", "bas": "'", "bat": "REM", "c": "//",
+    "c++": "//", "cc": "//", "cfc": "//", "cfm": "//", "clj": ";", "cls": "%", "cmd": "REM", "coffee": "#", "cpp": "//", "cs": "//", "css": "//",
+    "d": "//", "dart": "//", "elm": "--", "erl": "%", "ex": "#", "exs": "#", "f": "!", "f90": "!", "for": "!", "fs": "//", "fsi": "//", "fsx": "//",
+    "go": "//", "groovy": "//", "h": "//", "hpp": "//", "hs": "--", "htm": "<!--", "html": "<!--", "hx": "//", "java": "//", "jl": "#", "js": "//",
+    "jsx": "//", "kt": "//", "kts": "//", "less": "//", "lisp": ";", "lua": "--", "m": "%", "markdown": "<!--", "md": "<!--", "nim": "#", "nix": "#",
+    "ocaml": "(*", "pas": "//", "php": "//", "pl": "#", "pm": "#", "ps1": "#", "psm1": "#", "py": "#", "pyw": "#", "r": "#", "rb": "#", "rs": "//",
+    "s": ";", "sass": "//", "scala": "//", "scm": ";", "scss": "//", "sh": "#", "sql": "--", "swift": "//", "tcl": "#", "tex": "%", "ts": "//",
+    "tsx": "//", "vb": "'", "vba": "'", "vbs": "'", "vhdl": "--", "xsl": "<!--", "yaml": "#", "yml": "#", "zig": "//",
 }
+#: What opens and closes a comment block, by ending.
 BLOCK_COMMENT = {
-    ("/*", "*/"): "c c++ cc cpp cs css d dart go groovy h hpp hx java js jsx kt kts less php rs sass scala scss sql swift ts", ("<!--", "-->"): "htm html markdown md tsx xsl", ("--[[", "]]"): "lua", ("#[", "]#"): "nim",
-    ("(*", "*)"): "ocaml", ("<#", "#>"): "ps1 psm1", ('"""', '"""'): "py",
+    "c": ('/*', '*/'), "c++": ('/*', '*/'), "cc": ('/*', '*/'), "cpp": ('/*', '*/'), "cs": ('/*', '*/'), "css": ('/*', '*/'), "d": ('/*', '*/'),
+    "dart": ('/*', '*/'), "go": ('/*', '*/'), "groovy": ('/*', '*/'), "h": ('/*', '*/'), "hpp": ('/*', '*/'), "htm": ('<!--', '-->'),
+    "html": ('<!--', '-->'), "hx": ('/*', '*/'), "java": ('/*', '*/'), "js": ('/*', '*/'), "jsx": ('/*', '*/'), "kt": ('/*', '*/'),
+    "kts": ('/*', '*/'), "less": ('/*', '*/'), "lua": ('--[[', ']]'), "markdown": ('<!--', '-->'), "md": ('<!--', '-->'), "nim": ('#[', ']#'),
+    "ocaml": ('(*', '*)'), "php": ('/*', '*/'), "ps1": ('<#', '#>'), "psm1": ('<#', '#>'), "py": ('"""', '"""'), "rs": ('/*', '*/'),
+    "sass": ('/*', '*/'), "scala": ('/*', '*/'), "scss": ('/*', '*/'), "sql": ('/*', '*/'), "swift": ('/*', '*/'), "ts": ('/*', '*/'),
+    "tsx": ('<!--', '-->'), "xsl": ('<!--', '-->'),
 }
-OTHER_BLOCK = {("'''", "'''"): "py", ("=begin", "=end"): "ruby", ("=pod", "=cut"): "perl", ("#=", "=#"): "jl", ("'", "'"): "r", ("{-", "-}"): "hs", ("(comment", ")"): "clj", ("###", "###"): "coffee"}
+#: Other comment blocks, by ending.
+OTHER_BLOCK = {
+    "clj": ('(comment', ')'), "coffee": ('###', '###'), "hs": ('{-', '-}'), "jl": ('#=', '=#'), "perl": ('=pod', '=cut'), "py": ("'''", "'''"),
+    "r": ("'", "'"), "ruby": ('=begin', '=end'),
+}
+#: What opens and closes documentation, by ending; an empty end never closes.
 DOC_COMMENT = {
-    ("/**", "*/"): "java js ts jsx tsx c cpp cc h hpp php scala kt kts groovy", ("///", ""): "cs rs swift", ('"""', '"""'): "py pyw", ("#'", ""): "r", ("//", ""): "go",
+    "c": ('/**', '*/'), "cc": ('/**', '*/'), "cpp": ('/**', '*/'), "cs": ('///', ''), "go": ('//', ''), "groovy": ('/**', '*/'), "h": ('/**', '*/'),
+    "hpp": ('/**', '*/'), "java": ('/**', '*/'), "js": ('/**', '*/'), "jsx": ('/**', '*/'), "kt": ('/**', '*/'), "kts": ('/**', '*/'),
+    "php": ('/**', '*/'), "py": ('"""', '"""'), "pyw": ('"""', '"""'), "r": ("#'", ''), "rs": ('///', ''), "scala": ('/**', '*/'),
+    "swift": ('///', ''), "ts": ('/**', '*/'), "tsx": ('/**', '*/'),
 }
+BRACE_ONLY = r"(?i)^\s*[\{\}\(\)\[\]]\s*[;,]?\s*$|^\s*\}\s*(else|catch|finally)\s*\{\s*$|^\s*<\s*/?\s*[a-zA-Z][a-zA-Z0-9]*\s*>\s*$"
+
 
 # ---- rules --------------------------------------------------------------------------------------
 
@@ -136,14 +184,14 @@ def ending(name: Column) -> Column:
     return F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")
 
 
-def _by_value(table: dict, key: Column) -> Column:
-    """The table's key whose list of words holds ``key``."""
-    flat = {w: v for v, ws in table.items() for w in ws.split()}
-    return F.try_element_at(F.create_map(*[x for w, v in flat.items() for x in (F.lit(w), F.lit(v))]), key)
+def _of(table: dict, key: Column) -> Column:
+    """The table's value of ``key``, or null; a pair becomes a struct of a and b."""
+    value = lambda v: F.struct(F.lit(v[0]).alias("a"), F.lit(v[1]).alias("b")) if isinstance(v, tuple) else F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.try_element_at(F.create_map(*[x for w, v in table.items() for x in (F.lit(w), value(v))]), key)
 
 
 def language(name: Column) -> Column:
-    return F.when(~name.contains("."), "unknown").otherwise(F.coalesce(_by_value(LANGUAGES, ending(name)), F.lit("unknown")))
+    return F.when(~name.contains("."), "unknown").otherwise(F.coalesce(_of(LANGUAGE_OF, ending(name)), F.lit("unknown")))
 
 
 def auto_generated(line: Column) -> Column:
@@ -160,20 +208,17 @@ def auto_generated(line: Column) -> Column:
 def only_syntax(line: Column, lang: Column) -> Column:
     """Nothing on the line but braces, one tag or one keyword."""
     word = F.lower(stripped(F.regexp_replace(line, "[:;]+$", "")))
-    words = _by_words(lang)
+    words = _of(KEYWORDS, lang)
     bare = stripped(line)
     return (
-        line.rlike(BRACE_ONLY) | F.coalesce(F.array_contains(words, F.replace(word, F.lit(" "), F.lit("_"))) & ~word.contains("_"), F.lit(False))
-        | ((lang == "ruby") & (bare == "end")) | ((lang == "xml") & line.rlike(r"^\s*<[^>]*>\s*$")) | (lang.isin("yaml", "json") & bare.isin("{", "}", "[", "]", "-"))
+        line.rlike(BRACE_ONLY) | F.coalesce(F.array_contains(words, word), F.lit(False))
+        | ((lang == "ruby") & (bare == "end")) | (lang.isin("haskell", "elm") & bare.isin("where", "let", "in")) | ((lang == "xml") & line.rlike(r"^\s*<[^>]*>\s*$")) | (lang.isin("yaml", "json") & bare.isin("{", "}", "[", "]", "-"))
     )
 
 
-def _by_words(lang: Column) -> Column:
-    return F.try_element_at(F.create_map(*[x for k, w in KEYWORDS.items() for x in (F.lit(k), F.array(*map(F.lit, w.split())))]), lang)
-
-
 def meaningful_line(line: Column, lang: Column) -> Column:
-    return (stripped(line) != "") & auto_generated(line).isNull() & ~only_syntax(line, lang)
+    bare = stripped(line)
+    return (bare != "") & auto_generated(bare).isNull() & ~only_syntax(bare, lang)
 
 
 def delta_line(line: Column) -> Column:
@@ -238,8 +283,7 @@ def path_hash(path: Column) -> Column:
 def comment_lines(name: Column, source: Column) -> Column:
     """Number of comment lines: one fold over the lines, with the end mark awaited as its state."""
     ext = ending(name)
-    pair = lambda table: F.try_element_at(F.create_map(*[x for (a, b), ws in table.items() for w in ws.split() for x in (F.lit(w), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))]), ext)
-    line_mark, block, other, doc = _by_value(LINE_COMMENT, ext), pair(BLOCK_COMMENT), pair(OTHER_BLOCK), pair(DOC_COMMENT)
+    line_mark, block, other, doc = (_of(t, ext) for t in (LINE_COMMENT, BLOCK_COMMENT, OTHER_BLOCK, DOC_COMMENT))
 
     def step(state: Column, line: Column) -> Column:
         s = stripped(line)

@@ -45,10 +45,20 @@ def trends(weekly: DataFrame) -> DataFrame:
     )
 
 
-def developer_summary(trend: DataFrame, basic: DataFrame, sustained: DataFrame, sessions: DataFrame, domains: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per developer with what each timing metric says; 0 or 'unknown' where it says nothing. ``compat`` gives no rows."""
+def developer_summary(trend: DataFrame, velocity: DataFrame, hours: DataFrame, time: DataFrame, domains: DataFrame, compat: bool = False) -> DataFrame:
+    """One row per developer with what each timing metric says; 0 or 'unknown' where it says nothing. ``compat`` gives no rows.
+
+    trend: ``trends``; velocity: diff_delta rows, one per developer; hours: developer_totals; time: time_analysis; domains: code_domain rows.
+    """
     main = domains.filter("dev is not null").groupBy("dev").agg(F.max_by("domain", F.struct("lines", "domain")).alias("main_domain"))
-    out = reduce(lambda a, b: a.join(b, "dev", "full_outer"), [trend, basic, sustained, sessions.select("dev", "session_count", F.col("avg_hours").alias("avg_session_hours")), main])
+    time = time.select(
+        "dev", "total_repos", "total_span_days", "commits_per_day", "total_lines_changed", "total_files_changed", F.col("avg_hours").alias("avg_session_hours"), (F.col("avg_hours") * 60).alias("avg_session_minutes"),
+        F.col("avg_commits").alias("avg_commits_per_session"), "session_count", "max_consecutive_days", "total_active_days", "avg_per_active_day", "short_breaks", "long_breaks", (F.col("mean_hours") * 60).alias("mean_interval_minutes"),
+        (F.col("median_hours") * 60).alias("median_interval_minutes"), F.col("max_days").alias("max_gap_days"), "peak_day", "peak_day_count", F.col("total_weeks").alias("weeks_active"), F.col("avg_per_week").alias("avg_commits_per_week"),
+        "activities_per_day", F.col("consistency_score").alias("session_consistency"),
+    )
+    parts = [trend, velocity.filter("dev is not null").select("dev", F.col("commits").alias("total_commits")), hours.filter("dev is not null").select("dev", "total_estimated_hours"), time, main]
+    out = reduce(lambda a, b: a.join(b, "dev", "full_outer"), parts)
     keep = [c for c in out.columns if c not in ("dev", "main_domain")]
     out = out.select("dev", *[F.coalesce(c, F.lit(0)).alias(c) for c in keep], F.coalesce("main_domain", F.lit("unknown")).alias("main_domain"))
     return out.limit(0) if compat else out

@@ -17,18 +17,43 @@ WEIGHTS = {"added": 1.0, "deleted": 0.25, "updated": 0.75, "moved": 0.1}
 
 
 def delta_counts(m: Column) -> Column:
-    """added, deleted, updated and moved lines of a change, and its weighted delta; all 0 for files that are skipped."""
-    texts = F.struct(line_texts(m["diff_parsed"]["added"]).alias("a"), line_texts(m["diff_parsed"]["deleted"]).alias("d"))
+    """added, deleted, updated and moved lines of a change, and its weighted delta; all 0 for files that are skipped.
 
-    def with_moved(t: Column) -> Column:
-        gone = F.array_distinct(F.filter(F.transform(t["d"], rules.stripped), lambda x: x != ""))
-        return bound(gone, lambda g: F.struct(t["a"].alias("a"), t["d"].alias("d"), F.array_distinct(F.filter(t["a"], lambda x: F.array_contains(g, rules.stripped(x)))).alias("moved")))
+    A line is moved if it was added as one text and deleted as one that differs in outer blanks at most. The lines of both sides are sorted so that
+    equal ones lie together, and read once.
+    """
+    texts = F.struct(line_texts(m["diff_parsed"]["added"]).alias("a"), line_texts(m["diff_parsed"]["deleted"]).alias("d"))
+    entry = lambda side: lambda x: F.struct(rules.stripped(x).alias("s"), x.alias("r"), F.lit(side).alias("side"), rules.delta_line(x).cast("int").alias("w"))
+    counts = ["seen_a", "seen_d", "kinds", "here", "added", "deleted", "moved"]  # of the text less outer blanks: additions that count, whether deleted, kinds of raw text added; whether this raw text is added; results
 
     def counted(t: Column) -> Column:
-        n = lambda c: F.size(F.filter(c, lambda x: rules.delta_line(x) & ~F.array_contains(t["moved"], x)))
+        rows = F.array_sort(F.filter(F.concat(F.transform(t["a"], entry(0)), F.transform(t["d"], entry(1))), lambda x: x["s"] != ""))
+        start = F.struct(F.lit("").alias("s"), F.lit("").alias("r"), *[F.lit(0).alias(c) for c in counts])
+        closed = lambda st: {"added": st["added"] + F.when(st["seen_d"] > 0, 0).otherwise(st["seen_a"]), "moved": st["moved"] + F.when(st["seen_d"] > 0, st["kinds"]).otherwise(0)}
+
+        def step(st: Column, x: Column) -> Column:
+            other, add = st["s"] != x["s"], x["side"] == 0
+            other_raw = other | (st["r"] != x["r"])
+            kept = lambda c: F.when(other, 0).otherwise(st[c])
+            here = F.when(other_raw, 0).otherwise(st["here"])
+            c = closed(st)
+            value = {
+                "seen_a": kept("seen_a") + F.when(add, x["w"]).otherwise(0), "seen_d": F.when(add, kept("seen_d")).otherwise(1), "kinds": kept("kinds") + F.when(add & (here == 0), 1).otherwise(0),
+                "here": F.when(add, 1).otherwise(here), "added": F.when(other, c["added"]).otherwise(st["added"]), "deleted": st["deleted"] + F.when(add | (here > 0), 0).otherwise(x["w"]), "moved": F.when(other, c["moved"]).otherwise(st["moved"]),
+            }
+            return F.struct(x["s"].alias("s"), x["r"].alias("r"), *[value[k].cast("int").alias(k) for k in counts])
+
+        def done(st: Column) -> Column:
+            c = closed(st)
+            return F.struct(c["added"].alias("added"), st["deleted"].alias("deleted"), c["moved"].alias("moved"))
+
+        sums = F.aggregate(rows, start, step, done)
+        return F.struct(sums.alias("n"), F.size(t["a"]).alias("la"), F.size(t["d"]).alias("ld"))
+
+    def paired(v: Column) -> Column:
         # a fifth of the pairs of raw additions and deletions is not an update
-        pairs = F.greatest(F.least(F.size(t["a"]), F.size(t["d"])) - F.size(t["moved"]), F.lit(0))
-        return F.struct(n(t["a"]).alias("added"), n(t["d"]).alias("deleted"), F.floor(pairs * 8 / 10).cast("int").alias("updated"), F.size(t["moved"]).alias("moved"))
+        pairs = F.greatest(F.least(v["la"], v["ld"]) - v["n"]["moved"], F.lit(0))
+        return F.struct(v["n"]["added"].alias("added"), v["n"]["deleted"].alias("deleted"), F.floor(pairs * 8 / 10).cast("int").alias("updated"), v["n"]["moved"].alias("moved"))
 
     def weighed(v: Column) -> Column:
         delta = sum((v[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
@@ -37,7 +62,7 @@ def delta_counts(m: Column) -> Column:
     skip = rules.skipped_file(m["filename"]) | m["diff_parsed"].isNull()
     zero = F.struct(*[F.lit(0).alias(f"d_{k}") for k in WEIGHTS], F.lit(0.0).alias("delta"))
     # each step's value is bound once; written out in place, the steps would multiply
-    return F.when(F.coalesce(skip, F.lit(True)), zero).otherwise(bound(bound(bound(texts, with_moved), counted), weighed))
+    return F.when(F.coalesce(skip, F.lit(True)), zero).otherwise(bound(bound(bound(texts, counted), paired), weighed))
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -121,6 +146,21 @@ def work_hours(commits: DataFrame, gap: int = 7200, before: int = 1800, after: i
     return s.select(F.col("key").alias("dev"), "start", "end", "local_start", F.col("events").alias("commits"), "changes", hours.alias("hours"))
 
 
+def scoped(commits: DataFrame, scope: list[str]) -> DataFrame:
+    """Commits whose ``dev`` is the developer within the scope, so that what is computed for each developer is computed for each in each scope."""
+    return commits.withColumn("dev", F.when(F.col("dev").isNotNull(), F.struct(*scope, "dev"))) if scope else commits
+
+
+def unscoped(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows of ``scoped`` developers with the scope and the developer as columns again."""
+    return rows.select(*[F.col("dev")[k].alias(k) for k in (*scope, "dev")], *[F.col(c) for c in rows.columns if c != "dev"]) if scope else rows
+
+
+def developer_totals(work: DataFrame) -> DataFrame:
+    """Hours (not rounded), sessions and commits of each developer."""
+    return work.groupBy("dev").agg(F.sum("hours").alias("total_estimated_hours"), F.count(F.lit(1)).alias("total_sessions"), F.sum("commits").alias("total_commits"))
+
+
 def developer_hours(work: DataFrame) -> DataFrame:
     """Hours, sessions, commits and hours per day of each developer and ISO week of the session's start."""
     g = work.groupBy("dev", iso_week(F.col("local_start")).alias("week")).agg(F.sum("hours").alias("h"), F.count(F.lit(1)).alias("sessions"), F.sum("commits").alias("commits"), F.countDistinct(F.to_date("local_start")).alias("days"))
@@ -135,9 +175,20 @@ def code_domain(changes: DataFrame, scope: list[str], weekly: bool) -> DataFrame
     return g.withColumn("percent", F.col("lines") / F.sum("lines").over(Window.partitionBy(*by)) * 100)
 
 
+DAY = 86400
+
+
 def _gaps(commits: DataFrame) -> DataFrame:
-    w = Window.partitionBy("dev").orderBy("ts", "hash")
-    return commits.filter("dev is not null").withColumns({"gap": F.col("ts") - F.lag("ts").over(w)})
+    """dev, gap and n: how often each interval between successive commits of a developer occurs.
+
+    Commits of one day and developer are ordered in a window of their own; across days only the first and last of each day are, so no window
+    holds all commits of a developer.
+    """
+    c = commits.filter("dev is not null and ts is not null").select("dev", "ts", F.floor(F.col("ts") / DAY).alias("day"))
+    inner = c.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("dev", "day").orderBy("ts"))).filter("gap is not null").select("dev", "gap")
+    days = c.groupBy("dev", "day").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    outer = days.withColumn("gap", F.col("lo") - F.lag("hi").over(Window.partitionBy("dev").orderBy("day"))).filter("gap is not null").select("dev", "gap")
+    return inner.unionAll(outer).groupBy("dev", "gap").agg(F.count(F.lit(1)).alias("n"))
 
 
 def basic_stats(commits: DataFrame) -> DataFrame:
@@ -149,11 +200,11 @@ def basic_stats(commits: DataFrame) -> DataFrame:
 
 
 def interval_stats(commits: DataFrame) -> DataFrame:
-    """Intervals between commits, and the breaks among them."""
-    g = _gaps(commits).filter("gap is not null").groupBy("dev")
-    return g.agg(
-        half_even(F.avg("gap") / 3600, 2).alias("mean_hours"), half_even(F.median("gap") / 3600, 2).alias("median_hours"), half_even(F.min("gap") / 60, 2).alias("min_minutes"), half_even(F.max("gap") / 86400.0, 2).alias("max_days"),
-        F.count_if(F.col("gap") <= 4 * 3600).alias("short_breaks"), F.count_if(F.col("gap") > 24 * 3600).alias("long_breaks"), (F.avg("gap") / 3600).alias("avg_break_hours"),
+    """Intervals between commits, and the breaks among them, from the counts of equal intervals."""
+    mean = F.sum(F.col("gap") * F.col("n")) / F.sum("n")
+    return _gaps(commits).groupBy("dev").agg(
+        half_even(mean / 3600, 2).alias("mean_hours"), half_even(F.percentile("gap", 0.5, F.col("n")) / 3600, 2).alias("median_hours"), half_even(F.min("gap") / 60, 2).alias("min_minutes"), half_even(F.max("gap") / 86400.0, 2).alias("max_days"),
+        F.sum(F.when(F.col("gap") <= 4 * 3600, F.col("n")).otherwise(0)).alias("short_breaks"), F.sum(F.when(F.col("gap") > 24 * 3600, F.col("n")).otherwise(0)).alias("long_breaks"), (mean / 3600).alias("avg_break_hours"),
     )
 
 
@@ -207,3 +258,13 @@ def sustained(commits: DataFrame) -> DataFrame:
 
 def repo_activity(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("dev").alias("developers"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def time_analysis(commits: DataFrame) -> DataFrame:
+    """One row per developer with two commits or more: what the functions above give, side by side."""
+    c = commits
+    work = work_sessions(c)
+    out = basic_stats(c)
+    for part in (interval_stats(c), session_stats(work), daily_patterns(c), weekly_patterns(c), rhythm(c, work), sustained(c)):
+        out = out.join(part, "dev", "left")
+    return out

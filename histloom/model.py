@@ -24,11 +24,16 @@ def _commit_columns() -> dict[str, Column]:
     }
 
 
+def _first(v: str) -> Column:
+    """The value in the earliest delivery; a delivery without time comes after those that have one."""
+    return F.min_by(v, F.struct(F.col("extracted_at").isNull(), "extracted_at"))
+
+
 def commits_view(raw: DataFrame, *extra: tuple[str, Column]) -> DataFrame:
     """One narrow row per commit: the first delivery of each hash, failed extractions left out."""
     cols = _commit_columns() | dict(extra)
     rows = raw.filter("hash is not null and error is null").select("hash", "extracted_at", F.struct(*[c.alias(n) for n, c in cols.items()]).alias("v"))
-    return rows.groupBy("hash").agg(F.min_by("v", "extracted_at").alias("v")).select("hash", "v.*")
+    return rows.groupBy("hash").agg(_first("v").alias("v")).select("hash", "v.*")
 
 
 def changes_view(raw: DataFrame, fields: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -46,7 +51,7 @@ def changes_view(raw: DataFrame, fields: dict[str, Callable[[Column], Column]] |
     rows = raw.filter("hash is not null and error is null").select("hash", "extracted_at", *[c.alias(f"c_{n}") for n, c in cc.items()], array.alias("files"))
     rows = rows.select("*", F.posexplode("files").alias("file_idx", "m"))
     rows = rows.select("hash", "file_idx", "extracted_at", F.struct(*[F.col(f"c_{n}").alias(n) for n in cc], *[c.alias(n) for n, c in own.items()]).alias("v"))
-    return rows.groupBy("hash", "file_idx").agg(F.min_by("v", "extracted_at").alias("v")).select("hash", "file_idx", "v.*")
+    return rows.groupBy("hash", "file_idx").agg(_first("v").alias("v")).select("hash", "file_idx", "v.*")
 
 
 def line_texts(lines: Column) -> Column:
@@ -124,8 +129,10 @@ def resolved_paths(changes: DataFrame, scope: list[str]) -> DataFrame:
     scratch = Scratch(spark, "renames")
     order = F.struct("ts", "hash", "file_idx")
     rid = F.struct("hash", "file_idx")
-    uses = changes.withColumn("_at", order).withColumn("_key", F.col("new_path")).withColumn("_def", F.lit(None).cast("struct<hash:string,file_idx:int>"))
-    defs = changes.filter("kind = 'RENAME'").select(*scope, order.alias("_at"), F.col("old_path").alias("_key"), rid.alias("_def"))
+    # a change without new path (a delete) is redirected by nothing: all of a repository's deletes would meet in one window
+    plain = changes.filter("new_path is null").withColumn("path", F.lit(None).cast("string"))
+    uses = changes.filter("new_path is not null").withColumn("_at", order).withColumn("_key", F.col("new_path")).withColumn("_def", F.lit(None).cast("struct<hash:string,file_idx:int>"))
+    defs = changes.filter("kind = 'RENAME' and old_path is not null").select(*scope, order.alias("_at"), F.col("old_path").alias("_key"), rid.alias("_def"))
     both = uses.unionByName(defs, allowMissingColumns=True).withColumn("_is_use", F.col("_def").isNull())
     w = Window.partitionBy(*scope, "_key").orderBy("_at", F.col("_is_use").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # a rename of a path to itself must not see its own definition: uses come first at one instant
@@ -134,8 +141,10 @@ def resolved_paths(changes: DataFrame, scope: list[str]) -> DataFrame:
     link = scratch.save(seen.filter("kind = 'RENAME'").select(rid.alias("id"), "new_path", F.col("_ref").alias("ref")))
     while True:
         step = link.select(F.col("id").alias("ref"), F.col("new_path").alias("np2"), F.col("ref").alias("ref2"))
-        link = scratch.save(link.join(step, "ref", "left").select("id", F.coalesce("np2", "new_path").alias("new_path"), F.col("ref2").alias("ref")))
+        longer = scratch.save(link.join(step, "ref", "left").select("id", F.coalesce("np2", "new_path").alias("new_path"), F.col("ref2").alias("ref")))
+        scratch.drop(link)
+        link = longer
         if link.filter("ref is not null").isEmpty():
             break
     target = link.select(F.col("id").alias("_ref"), F.col("new_path").alias("_target"))
-    return seen.join(target, "_ref", "left").withColumn("path", F.coalesce("_target", "new_path")).drop("_ref", "_target")
+    return seen.join(target, "_ref", "left").withColumn("path", F.coalesce("_target", "new_path")).drop("_ref", "_target").unionByName(plain)

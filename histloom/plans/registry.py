@@ -15,7 +15,7 @@ _METRICS: dict[str, Metric] = {}
 
 
 def metric(name: str):
-    """Register ``f(raw_commits, scope) -> DataFrame`` under a name."""
+    """Register ``f(raw_commits, scope) -> DataFrame`` under a name. The rows carry every column of the scope."""
 
     def add(f: Metric) -> Metric:
         _METRICS[name] = f
@@ -62,12 +62,17 @@ metric("code_provenance")(_of_changes(lambda c, s: timing.code_provenance(timing
 metric("code_domain")(_of_changes(lambda c, s: timing.code_domain(c, s, True)))
 
 
-@metric("meaningful_code")
-def _meaningful(raw: DataFrame, scope: list[str]) -> DataFrame:
-    changes = _scoped(raw, model.changes_view(raw, quality.DOC_FIELDS), scope)
+def verdicts(raw: DataFrame, scope: list[str]) -> DataFrame:
+    """Which commits count as work, with their changed lines."""
+    changes = model.changes_view(raw)
     lines = changes.groupBy("hash").agg(F.sum(F.col("added") + F.col("deleted")).alias("changed"))
     commits = _scoped(raw, model.commits_view(raw), scope).join(lines, "hash", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
-    return quality.meaningful_code(changes, quality.unrealistic(commits, scope), scope)
+    return quality.unrealistic(commits, scope)
+
+
+@metric("meaningful_code")
+def _meaningful(raw: DataFrame, scope: list[str]) -> DataFrame:
+    return quality.meaningful_code(_scoped(raw, model.changes_view(raw, quality.MEANING_FIELDS), scope), verdicts(raw, scope), scope)
 
 
 @metric("diff_delta")
@@ -76,13 +81,16 @@ def _delta(raw: DataFrame, scope: list[str]) -> DataFrame:
     return timing.diff_delta(_scoped(raw, model.commits_view(raw), scope), changes, scope, True)
 
 
+def _developers(raw: DataFrame, scope: list[str]) -> DataFrame:
+    return timing.scoped(_scoped(raw, model.commits_view(raw), scope), scope)
+
+
 @metric("developer_hours")
 def _hours(raw: DataFrame, scope: list[str]) -> DataFrame:
     worth = model.changes_view(raw, {"w": timing.hours_changes}).groupBy("hash").agg(F.sum("w").alias("worth"))
-    return timing.developer_hours(timing.work_hours(model.commits_view(raw).join(worth, "hash", "left")))
+    return timing.unscoped(timing.developer_hours(timing.work_hours(_developers(raw, scope).join(worth, "hash", "left"))), scope)
 
 
 @metric("time_analysis")
 def _time(raw: DataFrame, scope: list[str]) -> DataFrame:
-    c = model.commits_view(raw)
-    return timing.basic_stats(c).join(timing.sustained(c), "dev", "left").join(timing.session_stats(timing.work_sessions(c)), "dev", "left")
+    return timing.unscoped(timing.time_analysis(_developers(raw, scope)), scope)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from histloom import model
 from histloom.functions import rules
 from histloom.metrics import merge, productivity, quality, summary, timing
+from histloom.plans import registry
 from histloom.queries.common import table
 from histloom.sources import readers, writers
 
@@ -38,10 +39,6 @@ def a1_change_set(s, d):
     return productivity.change_set(_commits(s, d), REPO)
 
 
-def a1_change_set_weekly(s, d):
-    return productivity.change_set(_weekly(s, d, _commits(s, d)), WEEK)
-
-
 def a1_file_changes(s, d):
     return productivity.file_change_counts(_changes(s, d), REPO)
 
@@ -78,10 +75,6 @@ def a7_code_churn(s, d):
     return quality.code_churn(_changes(s, d), REPO)
 
 
-def a7_code_churn_weekly(s, d):
-    return quality.code_churn(_weekly(s, d, _changes(s, d)), WEEK)
-
-
 def _events(s, d):
     return _changes(s, d, {"events": quality.line_events})
 
@@ -99,7 +92,8 @@ def a8_true_churn_by_file(s, d):
 
 
 def a9_file_churn(s, d):
-    return quality.file_report(_changes(s, d), REPO)
+    c = _events(s, d)
+    return quality.with_true_churn(quality.file_report(c, REPO), c, REPO, ["file"])
 
 
 def a10_commit_churn(s, d):
@@ -107,11 +101,16 @@ def a10_commit_churn(s, d):
 
 
 def a11_weekly_churn(s, d):
-    return quality.file_report(_changes(s, d).withColumn("week", model.monday(F.col("local"))), ["repo", "week"])
+    return quality.weekly_report(_changes(s, d).withColumn("week", model.monday(F.col("local"))), REPO)
+
+
+def a11_weekly_true_churn(s, d):
+    return quality.true_churn(_events(s, d).withColumn("week", model.monday(F.col("local"))), REPO, ["week"])
 
 
 def a12_author_churn(s, d):
-    return quality.author_report(_changes(s, d), REPO)
+    c = _events(s, d)
+    return quality.with_true_churn(quality.author_report(c, REPO), c, REPO, ["author"])
 
 
 def a13_extracted_churn(s, d):
@@ -122,6 +121,10 @@ def a14_bugs(s, d):
     return quality.bugs(_paths(s, d), REPO)
 
 
+def a14_bugs_overall(s, d):
+    return quality.bugs_overall(a14_bugs(s, d), REPO)
+
+
 def a15_code_movement(s, d):
     return quality.code_movement(_paths(s, d, quality.MOVE_FIELDS), REPO)
 
@@ -130,18 +133,12 @@ def a16_test_doc_pct(s, d):
     return quality.test_doc_pct(_changes(s, d, quality.DOC_FIELDS), REPO)
 
 
-def _verdicts(s, d):
-    c = _commits(s, d)
-    changed = _changes(s, d).groupBy("hash").agg(F.sum(F.col("added") + F.col("deleted")).alias("changed"))
-    return quality.unrealistic(c.join(changed, "hash", "left").withColumn("changed", F.coalesce("changed", F.lit(0))), REPO)
-
-
 def a18_meaningful_code(s, d):
-    return quality.meaningful_code(_changes(s, d, quality.DOC_FIELDS), _verdicts(s, d), REPO)
+    return registry.compute("meaningful_code", table(s, d, "commits"), REPO)
 
 
 def a19_unrealistic_commits(s, d):
-    return _verdicts(s, d).groupBy("repo", "verdict").agg(F.count(F.lit(1)).alias("commits"))
+    return quality.unrealistic_totals(registry.verdicts(table(s, d, "commits"), REPO), REPO)
 
 
 # ---- timing ----
@@ -182,6 +179,11 @@ def a27_developer_hours(s, d):
     return timing.developer_hours(_work(s, d))
 
 
+def a27_developer_totals(s, d):
+    t = timing.developer_totals(_work(s, d))
+    return t.withColumn("total_estimated_hours", F.round("total_estimated_hours", 6))
+
+
 def a28_code_domain(s, d):
     return timing.code_domain(_changes(s, d), [], False)
 
@@ -240,9 +242,7 @@ def a39_a41_trends(s, d):
 
 
 def a38_developer_summary(s, d):
-    c = _commits(s, d)
-    work = timing.session_stats(timing.work_sessions(c))
-    return summary.developer_summary(summary.trends(_weekly_stats(s, d)), timing.basic_stats(c), timing.sustained(c), work, a28_code_domain(s, d))
+    return summary.developer_summary(summary.trends(_weekly_stats(s, d)), a21_velocity(s, d), a27_developer_totals(s, d), timing.time_analysis(_commits(s, d)), a28_code_domain(s, d))
 
 
 def a42_top_developers(s, d):
@@ -250,28 +250,47 @@ def a42_top_developers(s, d):
     return summary.top(t, "total_diff_delta").unionByName(summary.top(t, "consistency")).unionByName(summary.top(t, "activity_rate"))
 
 
-# ---- merges over halves of the repositories ----
+# ---- merges of the results of two parts of the repositories ----
 
 
-def _halves(rows: DataFrame) -> DataFrame:
+def _parts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.length("repo"), F.lit(2)))
 
 
-def m_merged(s: SparkSession, d: str) -> DataFrame:
-    """The merge rules over two parts of the repositories, a row per metric and column."""
-    c, f = _halves(_commits(s, d)), _halves(_changes(s, d))
-    p = ["part"]
-    dd = _halves(_changes(s, d, DELTA))
-    delta = timing.diff_delta(c, dd, p, True)
-    domain = timing.code_domain(f, p, False)
-    parts = {"change_set": productivity.change_set(c, p), "code_churn": quality.code_churn(f, p), "diff_delta": delta, "code_domain": domain, "bugs": quality.bugs(f.withColumn("path", F.col("filename")), p)}
+def _merged(name: str, rule: str | None = None):
+    """The results of each part, computed apart, then merged; a row for each key."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = table(s, d, "commits")
+        # what a metric takes for the repository is the part, which keeps its own renames and histories
+        halves = c.withColumn("project_name", F.pmod(F.length("project_name"), F.lit(2)).cast("string"))
+        rows = registry.compute(name, halves, REPO).withColumnRenamed("repo", "part")
+        return merge.merge(rule or name, rows)
+
+    return run
+
+
+MERGED = {f"m_{rule}": _merged(name, rule) for rule, name in {
+    "change_set": "change_set", "commits_count": "commits_count", "contributors_count": "contributors", "contributors_experience": "contributors", "hunks_count": "hunks_count", "lines_count": "lines_count", "code_churn": "code_churn",
+    "bugs": "bugs", "code_movement": "code_movement", "test_doc_pct": "test_doc_pct", "meaningful_code": "meaningful_code", "diff_delta": "diff_delta", "code_provenance": "code_provenance", "developer_hours": "developer_hours", "code_domain": "code_domain",
+    "time_analysis": "time_analysis",
+}.items()}
+
+
+def m_true_churn(s: SparkSession, d: str) -> DataFrame:
+    c = _parts(_events(s, d))
+    return merge.merge("true_churn", quality.true_churn(c.drop("repo").withColumnRenamed("part", "repo"), REPO, ["author"]).withColumnRenamed("repo", "part"))
+
+
+def m17_weekly_merge(s: SparkSession, d: str) -> DataFrame:
+    """The weekly results of two parts merged by week, category and metric; a row per figure."""
+    c = table(s, d, "commits")
+    results = {n: _parts(registry.compute(n, c, WEEK)) for n in ("change_set", "code_churn", "code_movement", "test_doc_pct")}
     out = None
-    for name, rows in parts.items():
-        m = merge.merge(name, rows)
-        keys = merge.RULES[name][0]
-        nums = [x for x in m.columns if x not in keys]
-        sums = m.agg(*[F.round(F.sum(x).cast("double"), 6).alias(x) for x in nums]).select(F.lit(name).alias("metric"), F.explode(F.create_map(*[y for x in nums for y in (F.lit(x), F.col(x))])).alias("column", "total"))
-        out = sums if out is None else out.unionByName(sums)
+    for (category, name), rows in merge.merge_weekly(results).items():
+        nums = [x for x in rows.columns if x != "week_label"]
+        long = rows.select("week_label", F.lit(category).alias("category"), F.lit(name).alias("metric"), F.explode(F.create_map(*[y for x in nums for y in (F.lit(x), F.col(x).cast("double"))])).alias("figure", "value"))
+        out = long if out is None else out.unionAll(long)
     return out
 
 
@@ -366,8 +385,11 @@ def a44_summary(s, d):
 
 
 def a45_combined_weeks(s, d):
-    w = productivity.change_set(_weekly(s, d, _commits(s, d)), WEEK)
-    long = w.select("repo", "week_label", F.lit("files_max").alias("metric"), F.col("max_files").cast("double").alias("value"))
+    c = table(s, d, "commits")
+    sets, lines = registry.compute("change_set", c, WEEK), _weekly(s, d, _changes(s, d)).groupBy(*WEEK).agg(F.count(F.lit(1)).alias("changes"), F.sum("added").alias("added"), F.sum("deleted").alias("removed"), F.max("added").alias("added_max"))
+    long = sets.select(*WEEK, F.lit("files_max").alias("metric"), F.col("max_files").cast("double").alias("value"))
+    for name, col in (("files_count", "changes"), ("added_total", "added"), ("removed_total", "removed"), ("added_max", "added_max")):
+        long = long.unionAll(lines.select(*WEEK, F.lit(name), F.col(col).cast("double")))
     return merge.combined_weeks(long)
 
 
@@ -384,13 +406,27 @@ def u5_date_chunks(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        a1_change_set, a1_change_set_weekly, a1_file_changes, a2_commits_count, a3_a4_contributors, a5_hunks_count, a6_lines_count, a46_accumulator, j3_renamed_paths, a7_code_churn, a7_code_churn_weekly, a8_true_churn,
-        a8_true_churn_by_author, a8_true_churn_by_file, a9_file_churn, a10_commit_churn, a11_weekly_churn, a12_author_churn, a13_extracted_churn, a14_bugs, a15_code_movement, a16_test_doc_pct, a18_meaningful_code,
-        a19_unrealistic_commits, a20_diff_delta, a21_velocity, a21_velocity_weekly, a22_code_provenance, a24_sessions_2h, a27_developer_hours, a28_code_domain, a28_code_domain_weekly, a29_basic_stats, a30_a34_intervals,
-        a31_work_sessions, a31_last_sessions, a32_daily_patterns, a33_weekly_patterns, a35_rhythm, a36_sustained, a37_repo_activity, a38_weekly_stats, a38_developer_summary, a39_a41_trends, a42_top_developers, m_merged,
+        a1_change_set, a1_file_changes, a2_commits_count, a3_a4_contributors, a5_hunks_count, a6_lines_count, a46_accumulator, j3_renamed_paths, a7_code_churn, a8_true_churn,
+        a8_true_churn_by_author, a8_true_churn_by_file, a9_file_churn, a10_commit_churn, a11_weekly_churn, a11_weekly_true_churn, a12_author_churn, a13_extracted_churn, a14_bugs, a14_bugs_overall, a15_code_movement, a16_test_doc_pct, a18_meaningful_code,
+        a19_unrealistic_commits, a20_diff_delta, a21_velocity, a21_velocity_weekly, a22_code_provenance, a24_sessions_2h, a27_developer_hours, a27_developer_totals, a28_code_domain, a28_code_domain_weekly, a29_basic_stats, a30_a34_intervals,
+        a31_work_sessions, a31_last_sessions, a32_daily_patterns, a33_weekly_patterns, a35_rhythm, a36_sustained, a37_repo_activity, a38_weekly_stats, a38_developer_summary, a39_a41_trends, a42_top_developers, m_true_churn, m17_weekly_merge,
         f_path_rules, f_line_rules, f6_bug_messages, f4_month_range, w_week_keys, w1_analysis_weeks, s1_repositories, s6_date_range, s10_accessible, f2_f3_users, f21_addresses, j8_not_done, k1_k2_reports, k4_combined,
         k6_completed, a44_summary, a45_combined_weeks, c9_groups, u5_date_chunks,
     )
 }
 
+
+
+def _weekly_metric(name: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return registry.compute(name, table(s, d, "commits"), WEEK)
+
+    return run
+
+
+# every metric as the weekly reports give it: computed afresh in each analysis week of each repository
+QUERIES |= {f"weekly_{n}": _weekly_metric(n) for n in registry.names()}
+
+QUERIES |= MERGED
+
 from histloom.queries.history_sql import SQL  # noqa: E402, F401

@@ -1,4 +1,8 @@
-"""SQL of the history queries, written apart from the plans it checks."""
+"""SQL of the history queries.
+
+The plans are written anew here, while word lists and patterns are those of ``functions/rules.py``: a wrong entry of a list would be wrong on both
+sides. What the rules give for known inputs is pinned in ``tests/test_rules.py``.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ BASE = f"""
 with recursive b as (select *, row_number() over (partition by hash order by extracted_at) rn from commits where hash is not null and error is null),
 c as (select hash, project_name repo, msg, author.name author, {_STRIP.format('author.email')} email, lower({_STRIP.format('author.email')}) dev, {_EPOCH} ts, {_AEPOCH} author_ts, {_LOCAL.format('committer_date')} as local_, {_LOCAL.format('author_date')} author_local,
       coalesce(lines, 0) lines, coalesce(insertions, 0) insertions, coalesce(deletions, 0) deletions, coalesce(len(modified_files), 0) n_files, modified_files from b where rn = 1),
-f as (select * exclude (modified_files, m), m.filename filename, m.new_path new_path, m.old_path old_path, m.change_type_name kind, coalesce(m.added_lines, 0) added, coalesce(m.deleted_lines, 0) deleted, m.diff diff, m.diff_parsed dp, m.source_code_before prior
+f as (select * exclude (modified_files, m), m.filename filename, m.new_path new_path, m.old_path old_path, m.change_type_name kind, coalesce(m.added_lines, 0) added, coalesce(m.deleted_lines, 0) deleted, m.diff diff, m.diff_parsed dp, m.source_code_before prior, m.source_code src
       from (select *, generate_subscripts(modified_files, 1) - 1 file_idx, unnest(modified_files) m from c))"""
 _RENAMES = """,
 o as (select *, row_number() over (order by ts, hash, file_idx) ord from f),
@@ -114,7 +118,7 @@ def _domain(col: str) -> str:
 
 def _language(col: str) -> str:
     e = f"lower(string_split({col}, '.')[-1])"
-    return f"case when {col} not like '%.%' then 'unknown' " + " ".join(f"when {e} in ({', '.join(map(_q, w.split()))}) then {_q(k)}" for k, w in rules.LANGUAGES.items()) + " else 'unknown' end"
+    return f"case when {col} not like '%.%' then 'unknown' else coalesce(map {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in rules.LANGUAGE_OF.items())}}}[{e}], 'unknown') end"
 
 
 _FIX = f"regexp_matches(lower(coalesce(msg, '')), {_q(rules.bug_pattern)})"
@@ -139,7 +143,6 @@ tr as (select dev, weeks, total_diff_delta, case when old is null or old = 0 the
 
 SQL = {
     "a1_change_set": f"{BASE} select repo, max(n_files) max_files, avg(n_files) avg_files from c group by repo",
-    "a1_change_set_weekly": f"{BASE}{_WEEKS} select repo, week_label, max(n_files) max_files, avg(n_files) avg_files from c join wk using (hash) group by all",
     "a1_file_changes": f"{BASE} select repo, filename, count(*) changes from f group by all",
     "j3_renamed_paths": f"{BASE}{_RENAMES} select hash, file_idx, path from p",
     "a2_commits_count": f"{BASE}{_RENAMES} select repo, path, count(*) modifications from p group by all",
@@ -152,22 +155,27 @@ SQL = {
  select repo, path, {', '.join(f'sum({c}) {k}_total, max({c}) {k}_max, round_even(avg({c}), 0) {k}_avg' for k, c in (('added', 'added'), ('removed', 'deleted'), ('noop_added', 'na'), ('noop_removed', 'nr')))} from n group by all""",
     "a46_accumulator": f"{BASE} select repo, filename, count(*) changes, sum(added + deleted) churn, count(distinct author) contributors, sum(len({_TXT.format('added')}) + len({_TXT.format('deleted')})) diff_lines, sum(added) added, sum(deleted) deleted from f group by all",
     "a7_code_churn": BASE + _CHURN.format("repo", _PATH, "f"),
-    "a7_code_churn_weekly": BASE + _WEEKS + _CHURN.format("repo, week_label", _PATH, "(select * from f join wk using (hash))"),
     "a8_true_churn": BASE + _EVENTS + _TRUE.format("repo"),
     "a8_true_churn_by_author": BASE + _EVENTS + _TRUE.format("repo, author"),
     "a8_true_churn_by_file": BASE + _EVENTS + _TRUE.format("repo, file"),
-    "a9_file_churn": f"{BASE} select repo, {_PATH} file, sum(added + deleted) churn, max(added + deleted) churn_max, round_even(avg(added + deleted), 0) churn_avg, count(*) changes from f group by all",
+    "a9_file_churn": f"""{BASE}{_EVENTS}, t as ({_TRUE.format('repo, file')}), r as (select repo, {_PATH} file, sum(added + deleted) churn, max(added + deleted) churn_max, round_even(avg(added + deleted), 0) churn_avg, count(*) changes from f group by all)
+ select r.*, coalesce(contribution, 0) true_contribution, coalesce(t.churn, 0) true_churn from r left join t on r.repo is not distinct from t.repo and r.file is not distinct from t.file""",
     "a10_commit_churn": f"{BASE} select hash, count(*) files, sum(added) added, sum(deleted) removed, sum(added + deleted) churn from (select * from f qualify row_number() over (partition by hash, {_PATH} order by file_idx desc) = 1) group by hash",
-    "a11_weekly_churn": f"{BASE} select repo, {_MON} as week, {_PATH} file, sum(added + deleted) churn, max(added + deleted) churn_max, round_even(avg(added + deleted), 0) churn_avg, count(*) changes from f group by all",
-    "a12_author_churn": f"{BASE} select repo, author, sum(added + deleted) churn, sum(added) added, sum(deleted) removed, count(*) file_count from (select * from f qualify row_number() over (partition by hash, {_PATH} order by file_idx desc) = 1) group by all",
+    "a11_weekly_churn": f"""{BASE}, g as (select repo, {_MON} as week, {_PATH} file, added, deleted, added + deleted n from f)
+ select repo, week, case when grouping(file) = 1 then 'week' else 'file' end as level, file, sum(n) churn, max(n) churn_max, round_even(avg(n), 0) churn_avg, sum(added) added, sum(deleted) removed, count(*) changes from g group by grouping sets ((repo, week), (repo, week, file))""",
+    "a11_weekly_true_churn": f"{BASE}{_EVENTS.replace('author, ts, coalesce', 'author, ts, local_, coalesce').replace('author, ts, file,', 'author, ts, local_, file,')} {_TRUE.format(f'repo, {_MON} as week').replace(f'group by repo, {_MON} as week', 'group by all')}",
+    "a12_author_churn": f"""{BASE}{_EVENTS}, t as ({_TRUE.format('repo, author')}), r as (select repo, author, sum(added + deleted) churn, sum(added) added, sum(deleted) removed, count(*) file_count from (select * from f qualify row_number() over (partition by hash, {_PATH} order by file_idx desc) = 1) group by all)
+ select r.*, coalesce(contribution, 0) true_contribution, coalesce(t.churn, 0) true_churn from r left join t on r.repo is not distinct from t.repo and r.author is not distinct from t.author""",
     "a13_extracted_churn": f"{BASE} select repo, {_PATH} file, sum(added + deleted) total, sum(added - deleted) net from f group by all",
     "a14_bugs": f"{BASE}{_RENAMES} select repo, path, sum(case when {_FIX} then added + deleted else 0 end) bug_lines, sum(added + deleted) lines, case when sum(added + deleted) > 0 then sum(case when {_FIX} then added + deleted else 0 end) / sum(added + deleted) * 100 else 0 end bug_percent from p group by all",
+    "a14_bugs_overall": f"{BASE}, g as (select repo, sum(case when {_FIX} then added + deleted else 0 end) b, sum(added + deleted) n from f group by repo) select repo, b total_bug_lines, n total_lines, case when n > 0 then b / n * 100 else 0 end overall_bug_percent from g",
     "a20_diff_delta": f"{BASE}{_DELTA} select hash, file_idx, d_added, d_deleted, d_updated, d_moved, round(delta, 6) delta from d3",
     "a21_velocity": _velocity(""),
     "a21_velocity_weekly": _VW,
     "a22_code_provenance": f"{BASE}{_AGES} select *, new_lines / total_lines * 100 new_percent, recent_lines / total_lines * 100 recent_percent, old_lines / total_lines * 100 old_percent, legacy_lines / total_lines * 100 legacy_percent from pv",
     "a24_sessions_2h": f'{BASE}{_HOURS} select dev, start_ as start, end_ as "end", n commits, ch changes, round(hours, 6) as hours from ss',
     "a27_developer_hours": f"{BASE}{_HOURS} select dev, strftime(ls, '%G-W%V') as week, round_even(sum(hours), 2) estimated_hours, count(*) sessions, sum(n) commits, round_even(sum(hours) / greatest(1, count(distinct ls::date)), 2) hours_per_day from ss group by all",
+    "a27_developer_totals": f"{BASE}{_HOURS} select dev, round(sum(hours), 6) total_estimated_hours, count(*) total_sessions, sum(n) total_commits from ss group by dev",
     "a28_code_domain": f"{BASE}, g as (select dev, {_domain('filename')} as domain, sum(added + deleted) lines from f where added + deleted > 0 group by all) select *, lines / sum(lines) over (partition by dev) * 100 percent from g",
     "a28_code_domain_weekly": f"{BASE}, g as (select dev, {_MON} as week, {_domain('filename')} as domain, sum(added + deleted) lines from f where added + deleted > 0 group by all) select *, lines / sum(lines) over (partition by dev, week) * 100 percent from g",
     "a29_basic_stats": f"""{BASE} select dev, count(*) total_commits, count(distinct repo) total_repos, min(ts) first_ts, max(ts) last_ts, round_even((max(ts) - min(ts)) / 86400, 2) total_span_days, round_even(count(*) / greatest(1, (max(ts) - min(ts)) / 86400), 3) commits_per_day,
@@ -202,52 +210,181 @@ SQL = {
     "k4_combined": f"with recursive x as ({_REPORTS}) select username, count(*) repositories, sum(total_commits) total_commits, sum(total_lines_added) total_lines_added, sum(total_lines_removed) total_lines_removed from x group by username",
     "k6_completed": "select username from completed_users where username is not null union select username from repos where username is not null",
     "a44_summary": "select project_name, count(*) files, sum(coalesce(processing.total_commits, 0)) total_commits, sum(coalesce(processing.total_lines_added, 0)) total_lines_added, sum(coalesce(processing.total_lines_removed, 0)) total_lines_removed from analysis_files group by project_name",
-    "a45_combined_weeks": f"{BASE}{_WEEKS} select week_label, 'files_max' metric, max(m)::double as value from (select repo, week_label, max(n_files) m from c join wk using (hash) group by all) group by week_label",
     "c9_groups": "select repo_category, ecosystem, count(distinct repository_name) repositories from analysis_files group by all",
     "u5_date_chunks": "select i::int chunk, strftime(date '2014-01-01' + (i * 521)::int, '%Y-%m-%d') from_day, case when i = 6 then '2024-01-01' else strftime(date '2014-01-01' + ((i + 1) * 521)::int, '%Y-%m-%d') end to_day from range(7) t(i)",
 }
 
 
 def _words(lang: str) -> str:
-    return f"case {lang} " + " ".join(f"when {_q(k)} then [{', '.join(map(_q, w.split()))}]" for k, w in rules.KEYWORDS.items()) + " else [] end"
+    return f"case {lang} " + " ".join(f"when {_q(k)} then [{', '.join(map(_q, w))}]" for k, w in rules.KEYWORDS.items()) + " else [] end"
+
+
+def _line(line: str, lang: str) -> dict[str, str]:
+    """The line predicates over an expression."""
+    bare, q = _strip(line), _q("")
+    word = f"lower({_strip(f'regexp_replace({line}, {_q(chr(91) + ':;]+$')}, {q})')})"
+    rest = _strip(f"regexp_replace({line}, '[a-zA-Z0-9]{{20,}}', {q}, 'g')")
+    long_ = f"(regexp_matches({line}, '[a-zA-Z0-9]{{20,}}') and length({rest}) < length({bare}) * 0.3)"
+    repeat = f"regexp_matches({line}, '_{{5,}}|={{5,}}|-{{5,}}')"
+    few = f"(length({line}) > 200 and len(list_distinct(string_split(replace({line}, ' ', ''), ''))) < 10)"
+    syntax = rf"""(regexp_matches({line}, {_q(rules.BRACE_ONLY)}) or list_contains({_words(lang)}, {word}) or ({lang} = 'ruby' and {bare} = 'end') or ({lang} in ('haskell', 'elm') and {bare} in ('where', 'let', 'in'))
+ or ({lang} = 'xml' and regexp_matches({line}, '^\s*<[^>]*>\s*$')) or ({lang} in ('yaml', 'json') and {bare} in ('{{', '}}', '[', ']', '-')))"""
+    return {"bare": bare, "long": long_, "repeat": repeat, "few": few, "syntax": syntax}
 
 
-_BARE = _strip("line")
-_WORD = f"lower({_strip('regexp_replace(line, ' + _q('[:;]+$') + ', ' + _q('') + ')')})"
-_LONG = f"(regexp_matches(line, '[a-zA-Z0-9]{{20,}}') and length({_strip('regexp_replace(line, ' + _q('[a-zA-Z0-9]{20,}') + ', ' + _q('') + ', ' + _q('g') + ')')}) < length({_BARE}) * 0.3)"
-_REPEAT = "regexp_matches(line, '_{5,}|={5,}|-{5,}')"
-_FEW = "(length(line) > 200 and len(list_distinct(string_split(replace(line, ' ', ''), ''))) < 10)"
-_SYNTAX = rf"""(regexp_matches(line, {_q(rules.BRACE_ONLY)}) or (list_contains({_words('lang')}, replace({_WORD}, ' ', '_')) and not contains({_WORD}, '_')) or (lang = 'ruby' and {_BARE} = 'end')
- or (lang = 'xml' and regexp_matches(line, '^\s*<[^>]*>\s*$')) or (lang in ('yaml', 'json') and {_BARE} in ('{{', '}}', '[', ']', '-')))"""
+_L, _S = _line("line", "lang"), _line("bare", "lang")
+_BARE, _LONG, _REPEAT, _FEW, _SYNTAX = (_L[k] for k in ("bare", "long", "repeat", "few", "syntax"))
 SQL["f_line_rules"] = rf"""{BASE}, l as (select distinct {_language('filename')} as lang, unnest({_TXT.format('added')}) line from f where filename is not null)
  select lang as language, count(*) lines, count(*) filter ({_BARE} = '') noop, count(*) filter (length({_BARE}) > 1 and not regexp_matches(line, {_q(rules.delta_drop_pattern)})) delta,
  count(*) filter (length({_BARE}) > 1 and not regexp_matches({_BARE}, '^(#|//|/\*|\*|<!--)')) provenance, count(*) filter (length({_BARE}) >= 3 and not regexp_matches({_BARE}, '^(//|#|/\*|\*|import |from |using |require)')) as hours,
  count(*) filter ({_LONG}) long_sequences, count(*) filter (not {_LONG} and {_REPEAT}) repeated_chars, count(*) filter (not {_LONG} and not {_REPEAT} and {_FEW}) repetitive, count(*) filter ({_SYNTAX}) only_syntax,
- count(*) filter ({_BARE} <> '' and not {_LONG} and not {_REPEAT} and not {_FEW} and not {_SYNTAX}) meaningful from l group by lang"""
-SQL["a19_unrealistic_commits"] = f"""{BASE}, z0 as (select c.repo, c.author, c.ts, c.hash, coalesce(sum(f.added + f.deleted), 0) n from c left join f using (hash) group by all), z as (select *, row_number() over (partition by repo, author order by ts, hash) k from z0),
- v as (select repo, author, k, case when n > 5000 then 'large_commit' else 'accepted' end verdict, case when n > 5000 then null else ts end last_ from z where k = 1
-  union all select z.repo, z.author, z.k, case when z.n > 5000 then 'large_commit' when z.n > 1000 and v.last_ is not null and z.ts - v.last_ < 600 then 'rapid_large_commit' else 'accepted' end,
-   case when z.n > 5000 or (z.n > 1000 and v.last_ is not null and z.ts - v.last_ < 600) then v.last_ else z.ts end from v join z on z.repo is not distinct from v.repo and z.author is not distinct from v.author and z.k = v.k + 1)
- select repo, verdict, count(*) commits from v group by all"""
-_PART = "length(repo) % 2"
-SQL["m_merged"] = f"""{BASE}{_DELTA},
- s1 as (select {_PART} part, max(n_files) a, avg(n_files) b from c group by 1), x1 as (select max(a)::double a, avg(b) b from s1),
- s2 as ({_CHURN.format('part', _PATH, f'(select *, {_PART} part from f)')}), x2 as (select sum(total_count) a, max(total_max) b, round_even(avg(total_avg), 0) c, sum(net_count) d, max(net_max) e, round_even(avg(net_avg), 0) f, sum(added) g, sum(removed) h from s2),
- q1 as (select {_PART} part, dev, {_MON} as week, count(*) commits, count(distinct local_::date) active_days from c group by all),
- q2 as (select {_PART} part, dev, {_MON} as week, sum(d_added) la, sum(d_deleted) ld, sum(d_updated) lu, sum(d_moved) lm, count(distinct filename) fc from d3 group by all),
- q3 as (select q1.dev, q1.week, sum(commits) commits, sum(active_days) active_days, sum(coalesce(la, 0)) la, sum(coalesce(ld, 0)) ld, sum(coalesce(lu, 0)) lu, sum(coalesce(lm, 0)) lm, sum(coalesce(fc, 0)) fc,
-   sum(coalesce(la * 1.0::double + ld * 0.25::double + lu * 0.75::double + lm * 0.1::double, 0)) dd from q1 left join q2 on q1.part = q2.part and q1.dev is not distinct from q2.dev and q1.week = q2.week group by all),
- x3 as (select sum(dd) a, sum(commits) b, sum(active_days) c, sum(fc) d, sum(la) e, sum(ld) f, sum(lu) g, sum(lm) h, sum(dd / greatest(1, active_days)) i from q3),
- s4 as (select sum(added + deleted)::double n from f where added + deleted > 0),
- s5 as (select {_PART} part, filename path, sum(case when {_FIX} then added + deleted else 0 end) b, sum(added + deleted) n from f group by all), g5 as (select path, sum(b) b, sum(n) n, avg(case when n > 0 then b / n * 100 else 0 end) p from s5 group by path),
- x5 as (select sum(p) a, sum(b) b, sum(n) c, sum(case when n > 0 then b / n * 100 else 0 end) d from g5)
- select metric, col as "column", round(tot::double, 6) total from (""" + " union all ".join(
-    f"select '{m}' metric, '{c}' col, {e} tot from {t}" for m, t, cols in (
-        ("change_set", "x1", {"max_files": "a", "avg_files": "b"}), ("code_churn", "x2", {"total_count": "a", "total_max": "b", "total_avg": "c", "net_count": "d", "net_max": "e", "net_avg": "f", "added": "g", "removed": "h"}),
-        ("diff_delta", "x3", {"diff_delta": "a", "commits": "b", "active_days": "c", "files_changed": "d", "lines_added": "e", "lines_deleted": "f", "lines_updated": "g", "lines_moved": "h", "velocity_per_day": "i"}),
-        ("code_domain", "s4", {"lines": "n"}), ("bugs", "x5", {"bug_percent": "a", "bug_lines": "b", "lines": "c", "overall_percent": "d"}),
-    ) for c, e in cols.items()
-) + ")"
+ count(*) filter (bare <> '' and not {_S['long']} and not {_S['repeat']} and not {_S['few']} and not {_S['syntax']}) meaningful from (select *, {_BARE} bare from l) group by lang"""
+_VERDICTS = """,
+ z0 as (select c.repo, c.author, c.ts, c.hash, coalesce(sum(f.added + f.deleted), 0) n from c left join f using (hash) group by all), z as (select *, row_number() over (partition by repo, author order by ts, hash) k from z0),
+ v as (select hash, repo, author, k, n, case when n > 5000 then 'large_commit' else 'accepted' end verdict, case when n > 5000 then null else ts end last_ from z where k = 1
+  union all select z.hash, z.repo, z.author, z.k, z.n, case when z.n > 5000 then 'large_commit' when z.n > 1000 and v.last_ is not null and z.ts - v.last_ < 600 then 'rapid_large_commit' else 'accepted' end,
+   case when z.n > 5000 or (z.n > 1000 and v.last_ is not null and z.ts - v.last_ < 600) then v.last_ else z.ts end from v join z on z.repo is not distinct from v.repo and z.author is not distinct from v.author and z.k = v.k + 1),
+ vt as (select repo, count(*) filter (verdict = 'large_commit') large_commits, count(*) filter (verdict = 'rapid_large_commit') rapid_large_commits, count(*) filter (verdict <> 'accepted') unrealistic_total, sum(n) skipped_lines from v group by repo)"""
+SQL["a19_unrealistic_commits"] = f"{BASE}{_VERDICTS} select * from vt"
+
+
+def _marks(table: dict[str, object], ext: str, part: int | None = None) -> str:
+    return f"map {{{', '.join(f'{_q(k)}: {_q(v if part is None else v[part])}' for k, v in table.items())}}}[{ext}]"
+
+
+# comment lines: a fold over the lines, the state being their number and the end mark awaited
+_SRC = ", ".join(f"{_marks(t, 'ext', i)} {n}" for t, names in ((rules.BLOCK_COMMENT, ("ba", "bb")), (rules.OTHER_BLOCK, ("oa", "ob")), (rules.DOC_COMMENT, ("da", "db"))) for i, n in enumerate(names))
+_HAS = lambda m: f"coalesce(contains({_strip('x.l')}, {m}), false)"
+_OPEN = lambda a, b: f"case when contains(substr({_strip('x.l')}, instr({_strip('x.l')}, {a}) + length({a})), {b}) then null else {b} end"
+_LINES = rf""",
+ y0 as (select *, case when filename like '%.%' then lower(string_split(filename, '.')[-1]) else '' end ext, {_language('filename')} as lang, regexp_matches(filename, {_q(rules.test_pattern)}) tst, regexp_matches(filename, {_q(rules.doc_pattern)}) doc from f),
+ y1 as (select *, {_marks(rules.LINE_COMMENT, 'ext')} lm, {_SRC} from y0),
+ y2 as (select * exclude (src), case when coalesce(src, '') = '' then [] else string_split(src, chr(10)) end ls from y1),
+ y3 as (select *, len(ls) n_lines, case when ext = '' or len(ls) = 0 then 0 else list_reduce([{{'n': 0, 'e': null::varchar, 'l': l}} for l in ls], lambda st, x: {{
+   'n': st.n + (st.e is not null or {_HAS('da')} or {_HAS('ba')} or {_HAS('oa')} or coalesce(starts_with({_strip('x.l')}, lm), false))::int,
+   'e': case when st.e is not null then case when st.e <> '' and contains(x.l, st.e) then null else st.e end when {_HAS('da')} then db when {_HAS('ba')} then {_OPEN('ba', 'bb')} when {_HAS('oa')} then {_OPEN('oa', 'ob')} end,
+   'l': '' }}, {{'n': 0, 'e': null::varchar, 'l': ''}}).n end n_comment from y2)"""
+_TESTDOC = """select repo, count(distinct filename) total_files, count(distinct filename) filter (tst) test_files, count(distinct filename) filter (doc) doc_files, sum(n_lines) total_lines, sum(case when tst then n_lines else 0 end) test_lines, sum(case when doc then n_lines else n_comment end) doc_lines from {0} group by repo"""
+_PCTS = """*, case when total_lines > 0 then test_lines / total_lines * 100 else 0 end test_percent, case when total_lines > 0 then doc_lines / total_lines * 100 else 0 end doc_percent"""
+SQL["a16_test_doc_pct"] = f"{BASE}{_LINES}, td as (select {_PCTS} from ({_TESTDOC.format('y3')})) select *, (test_percent + doc_percent) / 2 quality_score from td"
+_B = _line("l", "lang")
+SQL["a18_meaningful_code"] = f"""{BASE}{_LINES}{_VERDICTS},
+ ok as (select y3.* from y3 join v using (hash) where verdict = 'accepted'), td as (select {_PCTS} from ({_TESTDOC.format('ok')})),
+ ml as (select repo, lang, unnest([{_strip('x')} for x in ls]) l from ok where not (tst or doc)),
+ mm as (select repo, count(*) filter (not {_B['long']} and not {_B['repeat']} and not {_B['few']} and not {_B['syntax']}) meaningful_lines, count(*) filter ({_B['long']}) long_sequences, count(*) filter (not {_B['long']} and {_B['repeat']}) repeated_chars,
+   count(*) filter (not {_B['long']} and not {_B['repeat']} and {_B['few']}) repetitive_patterns from ml where l <> '' group by repo),
+ aa as (select vt.*, coalesce(total_files, 0) files, coalesce(total_lines, 0) total_lines, coalesce(meaningful_lines, 0) meaningful_lines, coalesce(long_sequences, 0) long_sequences, coalesce(repeated_chars, 0) repeated_chars, coalesce(repetitive_patterns, 0) repetitive_patterns,
+   coalesce((test_percent + doc_percent) / 2, 0) quality_score from vt left join td using (repo) left join mm using (repo))
+ select *, case when total_lines > 0 then meaningful_lines / total_lines * 100 else 0 end meaningful_percent, long_sequences + repeated_chars + repetitive_patterns auto_generated_total,
+   case when total_lines > 0 then (long_sequences + repeated_chars + repetitive_patterns) / total_lines * 100 else 0 end auto_generated_percent from aa"""
+# moved lines: the removed places of a text in turn, each taking the first free added place of another file
+SQL["a15_code_movement"] = f"""{BASE}{_RENAMES},
+ m0 as (select repo, hash, path, file_idx, [{_strip('x')} for x in {_TXT.format('deleted')} if length({_strip('x')}) > 5] r, [{_strip('x')} for x in {_TXT.format('added')} if length({_strip('x')}) > 5] a from p where kind <> 'RENAME' and dp is not null),
+ mt as (select repo, sum(len(r) + len(a)) changed_lines from m0 group by repo),
+ m1 as (select repo, hash, path, min(file_idx) fst, max_by(r, file_idx) r, max_by(a, file_idx) a from m0 group by all),
+ m2 as (select repo, hash, fst, 0 side, generate_subscripts(r, 1) i, unnest(r) t from m1 union all select repo, hash, fst, 1, generate_subscripts(a, 1), unnest(a) from m1),
+ m3 as (select repo, hash, t, coalesce(list(fst order by fst, i) filter (side = 0), []) r, coalesce(list(fst order by fst, i) filter (side = 1), []) a from m2 group by all),
+ m4 as (select repo, case when len(r) = 0 or len(a) = 0 then 0 else list_reduce([{{'n': 0, 'free': a, 'x': q}} for q in r], lambda st, y: case when len(list_filter(st.free, lambda z: z <> y.x)) = 0 then {{'n': st.n, 'free': st.free, 'x': y.x}}
+   else {{'n': st.n + 1, 'free': [st.free[k] for k in range(1, len(st.free) + 1) if k <> [j for j in range(1, len(st.free) + 1) if st.free[j] <> y.x][1]], 'x': y.x}} end, {{'n': 0, 'free': a, 'x': -1}}).n end moved, case when len(r) = 0 and len(a) > 1 then len(a) - 1 else 0 end copied from m3),
+ m5 as (select repo, sum(moved) moved_lines, sum(copied) copied_lines from m4 group by repo)
+ select *, case when changed_lines > 0 then moved_lines / changed_lines * 100 else 0 end moved_percent, case when changed_lines > 0 then copied_lines / changed_lines * 100 else 0 end copied_percent
+ from (select repo, coalesce(moved_lines, 0) moved_lines, coalesce(copied_lines, 0) copied_lines, changed_lines from mt left join m5 using (repo))"""
+# Weekly metrics: the same queries over commits and changes whose ``repo`` is the repository and the analysis week, so nothing is carried from one week into another.
+_SEP = "chr(31)"
+_CUT = BASE.index("f as (select")
+_WEEK_BASE = f"""{BASE[:_CUT].replace('c as (select hash', 'c_ as (select hash')}sp as (select repo, min(author_local) a, max(author_local) z from c_ group by repo),
+ c as (select c_.* replace (repo || {_SEP} || 'Week_' || (floor(epoch(author_local - a) / 604800)::int + 1) || '_' || strftime(a + to_days(floor(epoch(author_local - a) / 604800)::int * 7), '%Y-%m-%d') as repo)
+  from c_ join sp using (repo) where epoch(author_local - a) - floor(epoch(author_local - a) / 604800) * 604800 <= 518400 and a + to_days(floor(epoch(author_local - a) / 604800)::int * 7) < z),
+ {BASE[_CUT:]}"""
+# for what is computed per developer: the developer within the week
+_DEV_BASE = _WEEK_BASE.replace(f", lower({_STRIP.format('author.email')}) dev,", f", lower({_STRIP.format('author.email')}) dev_,").replace(
+    "c as (select c_.* replace (", "cw as (select c_.* replace ("
+).replace(f" {BASE[_CUT:]}", f" c as (select * exclude (dev_), repo || {_SEP} || dev_ as dev from cw),\n {BASE[_CUT:]}")
+
+
+def _weekly(sql: str, base: str = "") -> str:
+    return f"select split_part(repo, {_SEP}, 1) repo, split_part(repo, {_SEP}, 2) week_label, * exclude (repo) from ({sql.replace(BASE, base or _WEEK_BASE)})"
+
+
+def _weekly_dev(sql: str) -> str:
+    return f"select split_part(dev, {_SEP}, 1) repo, split_part(dev, {_SEP}, 2) week_label, split_part(dev, {_SEP}, 3) dev, * exclude (dev) from ({sql.replace(BASE, _DEV_BASE)} )"
+
+
+_OVERALL = {
+    "change_set": "a1_change_set", "commits_count": "a2_commits_count", "contributors": "a3_a4_contributors", "hunks_count": "a5_hunks_count", "lines_count": "a6_lines_count", "code_churn": "a7_code_churn", "true_churn": "a8_true_churn",
+    "bugs": "a14_bugs", "code_movement": "a15_code_movement", "test_doc_pct": "a16_test_doc_pct", "meaningful_code": "a18_meaningful_code",
+}
+SQL |= {f"weekly_{k}": _weekly(SQL[v]) for k, v in _OVERALL.items()}
+SQL["weekly_diff_delta"] = _weekly(_velocity("w").replace("select dev,", "select repo, dev,").replace("group by dev, week", "group by repo, dev, week").replace("on x.dev is", "on x.repo = y.repo and x.dev is"))
+SQL["weekly_code_provenance"] = _weekly(SQL["a22_code_provenance"].replace("pv as (select dev,", "pv as (select repo, dev,"))
+SQL["weekly_code_domain"] = _weekly(SQL["a28_code_domain_weekly"].replace("g as (select dev,", "g as (select repo, dev,").replace("partition by dev, week", "partition by repo, dev, week"))
+SQL["weekly_developer_hours"] = _weekly_dev(SQL["a27_developer_hours"])
+_PARTS = ["a29_basic_stats", "a30_a34_intervals", "a31_work_sessions", "a32_daily_patterns", "a33_weekly_patterns", "a35_rhythm", "a36_sustained"]
+SQL["weekly_time_analysis"] = "select split_part(dev, chr(31), 1) repo, split_part(dev, chr(31), 2) week_label, split_part(dev, chr(31), 3) dev, * exclude (dev) from " + " left join ".join(
+    f"({SQL[p].replace(BASE, _DEV_BASE)})" + (" using (dev)" if i else "") for i, p in enumerate(_PARTS)
+)
+# developer summaries
+SQL["a38_developer_summary"] = f"""with tr as ({SQL['a39_a41_trends']}), bs as ({SQL['a29_basic_stats']}), su as ({SQL['a36_sustained']}), se as ({SQL['a31_work_sessions']}), dm as ({SQL['a28_code_domain']}), iv as ({SQL['a30_a34_intervals']}), wp as ({SQL['a33_weekly_patterns']}), rh as ({SQL['a35_rhythm']}), pk as ({SQL['a32_daily_patterns']}), ho as ({SQL['a27_developer_totals']}), vl as ({SQL['a21_velocity']}),
+ d as (select dev from tr union select dev from bs union select dev from dm where dev is not null union select dev from ho where dev is not null union select dev from vl where dev is not null),
+ mn as (select dev, max_by(domain, struct_pack(l := lines, d := domain)) main_domain, '{{' || string_agg('"' || domain || '":' || round_even(percent, 2)::varchar, ',' order by domain) || '}}' ds from dm where dev is not null group by dev)
+ select d.dev, coalesce(tr.weeks, 0) as weeks, coalesce(tr.total_diff_delta, 0) total_diff_delta, coalesce(velocity_trend, 0) velocity_trend, coalesce(consistency, 0) consistency, coalesce(activity_rate, 0) activity_rate, coalesce(avg_weekly_velocity, 0) avg_weekly_velocity, coalesce(avg_weekly_hours, 0) avg_weekly_hours,
+  coalesce(vl.commits, 0) total_commits, coalesce(ho.total_estimated_hours, 0) total_estimated_hours, coalesce(total_repos, 0) total_repos, coalesce(total_span_days, 0) total_span_days, coalesce(commits_per_day, 0) commits_per_day, coalesce(total_lines_changed, 0) total_lines_changed, coalesce(total_files_changed, 0) total_files_changed,
+  coalesce(avg_hours, 0) avg_session_hours, coalesce(avg_hours, 0) * 60 avg_session_minutes, coalesce(avg_commits, 0) avg_commits_per_session, coalesce(session_count, 0) session_count, coalesce(max_consecutive_days, 0) max_consecutive_days, coalesce(total_active_days, 0) total_active_days, coalesce(avg_per_active_day, 0) avg_per_active_day,
+  coalesce(short_breaks, 0) short_breaks, coalesce(long_breaks, 0) long_breaks, coalesce(mean_hours, 0) * 60 mean_interval_minutes, coalesce(median_hours, 0) * 60 median_interval_minutes, coalesce(max_days, 0) max_gap_days, coalesce(peak_day, 0) peak_day, coalesce(peak_day_count, 0) peak_day_count, coalesce(total_weeks, 0) weeks_active,
+  coalesce(avg_per_week, 0) avg_commits_per_week, coalesce(activities_per_day, 0) activities_per_day, coalesce(consistency_score, 0) session_consistency, coalesce(main_domain, 'unknown') main_domain
+ from d left join tr using (dev) left join bs using (dev) left join su using (dev) left join se using (dev) left join mn using (dev) left join iv using (dev) left join wp using (dev) left join rh using (dev) left join pk using (dev) left join ho using (dev) left join vl using (dev)"""
+
+
+# Merged parts: the queries over two parts of the repositories, each merged by hand here.
+_PART_BASE = BASE.replace("project_name repo,", "(length(project_name) % 2)::varchar repo,")
+_PART_DEV = _PART_BASE.replace(f", lower({_STRIP.format('author.email')}) dev,", f", repo || {_SEP} || lower({_STRIP.format('author.email')}) dev,")
+
+
+def _in_parts(name: str, dev: bool = False) -> str:
+    sql = SQL[name]
+    if dev:
+        return f"select split_part(dev, {_SEP}, 1) repo, split_part(dev, {_SEP}, 2) dev, * exclude (dev) from ({sql.replace(BASE, _PART_DEV)})"
+    return sql.replace(BASE, _PART_BASE)
+
+
+_SUM = lambda *cols: ", ".join(f"sum({c}) {c}" for c in cols)
+_SHARE = lambda a, b, n: f"case when sum({b}) > 0 then sum({a}) / sum({b}) * 100 else 0 end {n}"
+_LAST = lambda *cols: ", ".join(f"max_by({c}, repo) filter ({c} is not null) {c}" for c in cols)
+_LC = ["added", "removed", "noop_added", "noop_removed"]
+SQL |= {
+    "m_change_set": f"select max(max_files) max_files, avg(avg_files) avg_files from ({_in_parts('a1_change_set')})",
+    "m_commits_count": f"select path, {_SUM('modifications')} from ({_in_parts('a2_commits_count')}) group by path",
+    "m_contributors_count": f"select path, max(total) total, sum(minor) minor from ({_in_parts('a3_a4_contributors')}) group by path",
+    "m_contributors_experience": f"select path, max(experience) experience from ({_in_parts('a3_a4_contributors')}) group by path",
+    "m_hunks_count": f"select path, sum(median_hunks) median_hunks from ({_in_parts('a5_hunks_count')}) group by path",
+    "m_lines_count": f"select path, {', '.join(f'sum({k}_total) {k}_total, max({k}_max) {k}_max, avg({k}_avg) {k}_avg' for k in _LC)} from ({_in_parts('a6_lines_count')}) group by path",
+    "m_code_churn": f"select sum(total_count) total_count, max(total_max) total_max, round_even(avg(total_avg), 0) total_avg, sum(net_count) net_count, max(net_max) net_max, round_even(avg(net_avg), 0) + 0 net_avg, sum(added) added, sum(removed) removed from ({_in_parts('a7_code_churn')})",
+    "m_true_churn": f"select author, {_SUM('contribution', 'churn')} from ({_in_parts('a8_true_churn_by_author')}) group by author",
+    "m_bugs": f"select path, avg(bug_percent) bug_percent, {_SUM('bug_lines', 'lines')}, {_SHARE('bug_lines', 'lines', 'overall_percent')} from ({_in_parts('a14_bugs')}) group by path",
+    "m_code_movement": f"select {_SUM('moved_lines', 'copied_lines', 'changed_lines')}, {_SHARE('moved_lines', 'changed_lines', 'moved_percent')}, {_SHARE('copied_lines', 'changed_lines', 'copied_percent')} from ({_in_parts('a15_code_movement')})",
+    "m_test_doc_pct": f"""select *, (test_percent + doc_percent) / 2 quality_score from (select {_SUM('total_files', 'test_files', 'doc_files', 'total_lines', 'test_lines', 'doc_lines')}, {_SHARE('test_lines', 'total_lines', 'test_percent')}, {_SHARE('doc_lines', 'total_lines', 'doc_percent')} from ({_in_parts('a16_test_doc_pct')}))""",
+    "m_meaningful_code": f"""select {_SUM('total_lines', 'meaningful_lines', 'files', 'long_sequences', 'repeated_chars', 'repetitive_patterns', 'auto_generated_total', 'large_commits', 'rapid_large_commits', 'unrealistic_total', 'skipped_lines')},
+ {_SHARE('meaningful_lines', 'total_lines', 'meaningful_percent')}, {_SHARE('auto_generated_total', 'total_lines', 'auto_generated_percent')}, 0.0::double quality_score from ({_in_parts('a18_meaningful_code')})""",
+    "m_diff_delta": f"""select dev, week, {_SUM('diff_delta', 'commits', 'active_days', 'files_changed', 'lines_added', 'lines_deleted', 'lines_updated', 'lines_moved')}, sum(diff_delta) / greatest(1, sum(active_days)) velocity_per_day
+ from ({_velocity("w").replace("select dev,", "select repo, dev,").replace("group by dev, week", "group by repo, dev, week").replace("on x.dev is", "on x.repo = y.repo and x.dev is").replace(BASE, _PART_BASE)}) group by dev, week""",
+    "m_code_provenance": f"""select dev, week, {_SUM('new_lines', 'recent_lines', 'old_lines', 'legacy_lines', 'total_lines')}, {', '.join(_SHARE(f'{k}_lines', 'total_lines', f'{k}_percent') for k in ('new', 'recent', 'old', 'legacy'))}
+ from ({SQL['a22_code_provenance'].replace("pv as (select dev,", "pv as (select repo, dev,").replace(BASE, _PART_BASE)}) group by dev, week""",
+    "m_developer_hours": f"select dev, week, {_SUM('estimated_hours', 'sessions', 'commits')}, 0.0::double hours_per_day from ({_in_parts('a27_developer_hours', True)}) group by dev, week",
+    "m_code_domain": f"select dev, domain, {_SUM('lines')} from ({SQL['a28_code_domain_weekly'].replace('g as (select dev,', 'g as (select repo, dev,').replace(BASE, _PART_BASE)}) group by dev, domain",
+    "m_time_analysis": f"""with t as (select split_part(dev, {_SEP}, 1) repo, split_part(dev, {_SEP}, 2) dev, * exclude (dev) from """ + " left join ".join(f"({SQL[p].replace(BASE, _PART_DEV)})" + (" using (dev)" if i else "") for i, p in enumerate(_PARTS)) + f"""),
+ g as (select dev, {_SUM('total_commits', 'total_lines_changed', 'total_files_changed', 'session_count', 'total_weeks', 'total_active_days', 'short_breaks', 'long_breaks', *(f'day_{k}' for k in range(7)))}, min(first_ts) first_ts, max(last_ts) last_ts, max(max_hours) max_hours, max(max_commits) max_commits,
+   {_LAST('total_repos', 'mean_hours', 'median_hours', 'min_minutes', 'max_days', 'avg_hours', 'avg_commits', 'avg_per_week', 'max_per_week', 'min_per_week', 'avg_break_hours', 'max_consecutive_days', 'avg_per_active_day')} from t group by dev),
+ h as (select *, round_even((last_ts - first_ts) / 86400, 2) total_span_days, greatest({', '.join(f'day_{k}' for k in range(7))}) peak_day_count from g)
+ select *, round_even(total_commits / greatest(1, total_span_days), 3) commits_per_day, case {' '.join(f'when day_{k} = peak_day_count then {k}' for k in range(7))} end peak_day, round_even(total_commits / greatest(1, total_span_days), 3) activities_per_day, round_even(session_count / greatest(1, total_span_days), 3) consistency_score from h""",
+}
+_WM = {
+    "change_set": ("productivity", "max(max_files)::double max_files, avg(avg_files) avg_files"), "code_churn": ("quality", "sum(total_count)::double total_count, max(total_max)::double total_max, round_even(avg(total_avg), 0) total_avg, sum(net_count)::double net_count, max(net_max)::double net_max, round_even(avg(net_avg), 0) + 0 net_avg, sum(added)::double added, sum(removed)::double removed"),
+    "code_movement": ("quality", f"sum(moved_lines)::double moved_lines, sum(copied_lines)::double copied_lines, sum(changed_lines)::double changed_lines, {_SHARE('moved_lines', 'changed_lines', 'moved_percent')}, {_SHARE('copied_lines', 'changed_lines', 'copied_percent')}"),
+    "test_doc_pct": ("quality", ", ".join(f"sum({c})::double {c}" for c in ("total_files", "test_files", "doc_files", "total_lines", "test_lines", "doc_lines")) + f", {_SHARE('test_lines', 'total_lines', 'test_percent')}, {_SHARE('doc_lines', 'total_lines', 'doc_percent')}, ({_SHARE('test_lines', 'total_lines', '')} + {_SHARE('doc_lines', 'total_lines', '')}) / 2 quality_score"),
+}
+SQL["m17_weekly_merge"] = " union all ".join(f"select week_label, '{cat}' category, '{k}' metric, figure, value from (unpivot (select week_label, {cols} from ({SQL['weekly_' + k]}) group by week_label) on columns(* exclude (week_label)) into name figure value value)" for k, (cat, cols) in _WM.items())
+SQL["a45_combined_weeks"] = f"""{BASE}{_WEEKS}, s as (select week_label, max(n_files)::double m from c join wk using (hash) group by all), l as (select week_label, count(*)::double n, sum(added)::double a, sum(deleted)::double r, max(added)::double x from f join wk using (hash) group by all)
+ select week_label, 'files_max' metric, m as value from s union all select week_label, 'files_count', n from l union all select week_label, 'added_total', a from l union all select week_label, 'removed_total', r from l union all select week_label, 'added_max', x from l"""
 
 
 def _exact(sql: str) -> str:

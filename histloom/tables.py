@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a fresh local one (tests, local mode)."""
+    """The folder in spark.checkpoint.dir. Where it is unset: a fresh local one if the whole session is one process, else an error,
+    as executors elsewhere would not see the driver's disk."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     if not getattr(sc, "_histloom_dir", None):
         sc._histloom_dir = tempfile.mkdtemp(prefix="histloom-")
         atexit.register(shutil.rmtree, sc._histloom_dir, ignore_errors=True)
@@ -29,12 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Numbered tables of one operator run; ``drop`` frees those that no later step reads."""
+    """Numbered tables of one operator run; ``drop`` frees those that no later step reads, ``keep`` all but those named."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.live = 0, {}
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -42,12 +46,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._histloom_path = path
+        self.live[path] = out
         return out
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._histloom_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for df in tables:
+            if self.live.pop(df._histloom_path, None) is not None:
+                path = jvm.org.apache.hadoop.fs.Path(df._histloom_path)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Free all tables but these, which a result still reads."""
+        left = {t._histloom_path for t in tables}
+        self.drop(*[t for p, t in self.live.items() if p not in left])
 
 
 def ship(spark: SparkSession) -> None:

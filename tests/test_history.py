@@ -79,8 +79,6 @@ def test_duplicate_and_failed_deliveries(spark):
     empty = raw.limit(0)
     for name in registry.names():
         assert registry.compute(name, empty).count() == 0, name
-    for name in registry.names():
-        registry.compute(name, raw).collect()
 
 
 def greedy(removed, added):
@@ -95,10 +93,14 @@ def greedy(removed, added):
 
 
 def test_greedy_moves(spark):
+    """Places stand in the files' order on both sides."""
     rng = random.Random(2)
-    rows = [([rng.choice("xyz") for _ in range(rng.randint(0, 5))], [rng.choice("xyz") for _ in range(rng.randint(0, 5))]) for _ in range(120)]
-    got = spark.createDataFrame(rows, "r array<string>, a array<string>").select("r", "a", quality.greedy_moves(F.col("r"), F.col("a")).alias("n")).collect()
-    assert [x for x in got if x["n"] != greedy(x["r"], x["a"])] == []
+    rows = [[(f, rng.choice([0, 0, 1, 2, 5]), rng.choice([0, 0, 1, 2, 5])) for f in range(rng.randint(1, 6))] for _ in range(400)]
+    df = spark.createDataFrame([(r,) for r in rows], "runs array<struct<file:int,cr:long,ca:long>>")
+    total = F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + x["ca"])
+    got = [r["n"] for r in df.select(quality.greedy_moves(F.col("runs"), total).alias("n")).collect()]
+    want = [greedy([f for f, r, _ in x for _ in range(r)], [f for f, _, a in x for _ in range(a)]) for x in rows]
+    assert [(x, g, w) for x, g, w in zip(rows, got, want) if g != w] == []
 
 
 def test_code_movement(spark):
@@ -110,11 +112,65 @@ def test_code_movement(spark):
 
 def test_unrealistic_is_a_recurrence(spark):
     rows = [("r", "A", 0, "1", 10), ("r", "A", 60, "2", 2000), ("r", "A", 550, "3", 2000), ("r", "A", 650, "4", 2000), ("r", "A", 700, "5", 9000), ("r", "B", 0, "6", 2000), ("r", None, 5, "7", 1)]
-    df = spark.createDataFrame(rows, "repo string, author string, ts long, hash string, changed long")
+    df = spark.createDataFrame(rows, "repo string, author string, ts long, hash string, changed long").withColumn("verdict", F.lit("clash"))
     got = {r["hash"]: r["verdict"][:5] for r in quality.unrealistic(df, ["repo"]).collect()}
     assert got == {"1": "accep", "2": "rapid", "3": "rapid", "4": "accep", "5": "large", "6": "accep", "7": "accep"}
 
 
+def fold_verdicts(rows):
+    out, last = {}, {}
+    for repo, author, ts, h, n in sorted(rows, key=lambda r: (r[2], r[3])):
+        was = last.get((repo, author))
+        out[h] = "large_commit" if n > 5000 else "rapid_large_commit" if n > 1000 and was is not None and ts - was < 600 else "accepted"
+        if out[h] == "accepted":
+            last[repo, author] = ts
+    return out
+
+
+def test_unrealistic_against_a_fold(spark):
+    rng = random.Random(4)
+    for span in (900, 4000, 40000):
+        rows = [(rng.choice("rs"), rng.choice(["A", "A", None]), rng.randrange(span), f"{k:03d}", rng.choice([10, 1500, 1500, 2000, 2000, 3000, 9000])) for k in range(150)]
+        df = spark.createDataFrame(rows, "repo string, author string, ts long, hash string, changed long")
+        assert {r["hash"]: r["verdict"] for r in quality.unrealistic(df, ["repo"]).collect()} == fold_verdicts(rows)
+
+
+def test_hot_keys_grow_in_proportion(spark):
+    """100,000 commits of one author, and one diff of 100,000 lines, in about the time that rows of that number take."""
+    import time
+
+    c = spark.range(100_000).select(F.lit("r").alias("repo"), F.lit("A").alias("author"), F.lit("a@x").alias("dev"), (F.col("id") * 700).alias("ts"), F.col("id").cast("string").alias("hash"), F.when(F.col("id") % 3 == 0, 2000).otherwise(10).alias("changed"))
+    began = time.time()
+    assert quality.unrealistic(c, ["repo"]).filter("verdict = 'accepted'").count() == 100_000
+    assert timing.interval_stats(c).first()["max_days"] == 0.01
+    n = 100_000
+    diff = f"@@ -1,{n} +1,{n} @@\n" + "\n".join(f"{'+-'[k % 2]}line {k // 2 % 5000}" for k in range(n))
+    lines = [(k + 1, f"line {k % 5000}") for k in range(n // 2)]
+    raw = frame(spark, [commit("1", "2020-01-01 00:00:00+00:00", [change("a.py", diff, lines, lines)])])
+    assert quality.true_churn(model.changes_view(raw, {"events": quality.line_events}), ["repo"], []).first()["contribution"] == n // 2
+    assert model.changes_view(raw, {"dd": timing.delta_counts}).select("dd.*").first()["d_moved"] == 5000
+    moved = quality.code_movement(model.resolved_paths(model.changes_view(raw, quality.MOVE_FIELDS), ["repo"]), ["repo"]).first()
+    assert moved["moved_lines"] == 0 and moved["changed_lines"] == n
+    assert time.time() - began < 120
+
+
+def test_registry_honours_the_scope(spark):
+    day = lambda k: f"2020-01-{k:02d} 00:00:00+00:00"
+    files = lambda k: [change(f"a{k}.py", "@@ -0,0 +1,1 @@\n+x = 1\n", [(1, "x = 1")], src="x = 1")]
+    raw = frame(spark, [commit(f"{r}{k}", day(k), files(k), repo=r) for r in "xy" for k in (1, 2, 9, 10)])
+    for name in registry.names():
+        rows = registry.compute(name, raw, ["repo", "week_label"])
+        got = {(r["repo"], r["week_label"]) for r in rows.collect()}
+        assert len(got) == 4, (name, got)
+
+
+def test_deliveries_without_time(spark):
+    raw = frame(spark, [commit("1", "2020-01-01 00:00:00+00:00", [change("a.py")], repo="late")], None).withColumn("extracted_at", F.lit(None).cast("timestamp"))
+    assert model.commits_view(raw).first()["repo"] == "late" and model.changes_view(raw).first()["repo"] == "late"
+    timed = frame(spark, [commit("1", "2020-01-01 00:00:00+00:00", [change("a.py")], repo="first")])
+    assert model.commits_view(raw.unionByName(timed.withColumn("extracted_at", F.col("extracted_at").cast("timestamp")))).first()["repo"] == "first"
+
+
 def test_comment_lines(spark):
     cases = [
         ("a.py", 'x\n# c\n"""doc\ntext\nend"""\ny', 4), ("a.go", "x\n// c\ny\nz", 3), ("a.java", "/* a */ x\n/* b\nc */\n// d\nint x;", 4), ("a.java", "/** d */\nx\n*/\ny", 3), ("a.c", "int x;", 0), ("a.html", "<!-- a\nb -->\nc", 2),
