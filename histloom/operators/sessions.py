@@ -21,7 +21,7 @@ def sessions(events: DataFrame, key: Column, at: Column, gap: int, event_id: Col
 
     key: any type; null keys are left out. at: integral time in the gap's unit; null times are left out.
     event_id: events of equal id, key and time count once; without it every row counts.
-    sums: further columns added up per session (nulls add nothing); first: columns of each session's first event (the least value
+    sums: further columns added up per session (nulls add nothing; of one event delivered with unlike values the greatest counts); first: columns of each session's first event (the least value
     among events at that instant). Returns key, session_start, session_end, duration, events, then these. An empty input gives an empty result; an
     event exactly ``gap`` after the last belongs to the same session; equal times are one instant. Other
     columns of ``events`` are ignored, whatever their names.
@@ -32,8 +32,8 @@ def sessions(events: DataFrame, key: Column, at: Column, gap: int, event_id: Col
     extra = [c.alias(f"s_{n}") for n, c in sums.items()] + [c.alias(f"f_{n}") for n, c in first.items()]
     rows = events.select(key.alias("key"), at.cast("long").alias("at"), *([event_id.alias("id")] if event_id is not None else []), *extra)
     rows = rows.filter(F.col("key").isNotNull() & F.col("at").isNotNull())
-    if event_id is not None:
-        rows = rows.distinct()
+    if event_id is not None:  # deliveries of one event are one, whatever else they carry
+        rows = rows.groupBy("key", "at", "id").agg(*[F.max(f"s_{n}").alias(f"s_{n}") for n in sums], *[F.min(f"f_{n}").alias(f"f_{n}") for n in first]) if sums or first else rows.distinct()
     cell = F.floor(F.col("at") / gap) if gap == 1 else (F.col("at") - F.pmod(F.col("at"), F.lit(gap))) / gap
     kept = [F.coalesce(F.sum(f"s_{n}"), F.lit(0)).alias(f"s_{n}") for n in sums]
     kept += [F.min(F.struct("at", f"f_{n}")).alias(f"f_{n}") for n in first]

@@ -93,7 +93,29 @@ with k as (select distinct hash, 'author.email' key_field, {_EMAIL} key_value fr
 select a.key_field, a.key_value, commits, changed_lines, coalesce(distinct_files, 0) distinct_files, commits / t share
 from a left join b using (key_field, key_value), n"""
 
+# a list may be JSON text, and one entry may stand for the list of it
+_NORM = lambda x: f"case when json_type({x}) = 'VARCHAR' and regexp_matches({x} ->> '$', '^\\s*[\\[{{]') and json_valid({x} ->> '$') then ({x} ->> '$')::json else {x} end"
+_LIST = lambda x: f"case json_type({x}) when 'ARRAY' then from_json({x}, '[\"JSON\"]') when 'OBJECT' then [{x}] else [] end"
+_GIVEN = lambda x: f"nullif(case when json_type({x}) not in ('OBJECT', 'ARRAY') then {x} ->> '$' end, '')"
+_FILE_OWN = " and ".join(f"((m -> '$.{c}') is null or json_type(m -> '$.{c}') in ('NULL', 'OBJECT', 'ARRAY'))" for c in ("filename", "new_path", "old_path", "change_type", "change_type_name", "added_lines", "deleted_lines"))
+_NESTED = f"""
+with v as (select record_id, ltrim(payload, chr(65279)) p from raw_records where payload is not null), j as (select record_id, p::json j from v where json_valid(p)),
+ r as (select record_id, j, case when json_type(j) = 'OBJECT' then coalesce(case when json_type(j -> '$.run.result') = 'OBJECT' then j -> '$.run.result' end, j) else j end o from j),
+ c0 as (select record_id, {_NORM("(case when json_type(o) = 'ARRAY' then o else o -> '$.commits' end)")} l from r),
+ c1 as (select record_id, json_type(l) = 'ARRAY' listed, {_LIST('l')} l from c0), c2 as (select record_id, generate_subscripts(l, 1) - 1 commit_pos, unnest(l) c from c1),
+ c as (select *, {_GIVEN("c -> '$.hash'")} h from c2 where json_type(c) = 'OBJECT'),
+ m0 as (select record_id, commit_pos, h, c, {_NORM("c -> '$.modified_files'")} m from c),
+ m1 as (select record_id, commit_pos, h, {_LIST(f"(case when json_type(m) = 'OBJECT' and {_FILE_OWN} then {_NORM("m -> '$.items'")} else m end)")} l from m0),
+ f2 as (select record_id, commit_pos, h, generate_subscripts(l, 1) - 1 file_pos, unnest(l) f from m1), f as (select * from f2 where json_type(f) = 'OBJECT'),
+ k0 as (select record_id, h, file_pos, {_LIST(_NORM("f -> '$.methods'"))} l from f), k2 as (select record_id, h, file_pos, generate_subscripts(l, 1) - 1 method_pos, unnest(l) k from k0), k as (select * from k2 where json_type(k) = 'OBJECT')"""
+_HEADS = ", ".join(f"{_GIVEN(f'o -> {chr(39)}$.{p}{chr(39)}')} {n}" for n, p in (("project_name", "project_name"), ("ecosystem", "ecosystem"), ("metrics_type", "metrics_type"), ("start_date", "analysis_period.start_date"), ("end_date", "analysis_period.end_date"), ("full_history", "analysis_period.full_history")))
+
 SQL = {
+    "p7_found": f"""{_NESTED} select distinct record_id, h hash, file_pos, coalesce({_GIVEN("f -> '$.filename'")}, string_split(coalesce({_GIVEN("f -> '$.new_path'")}, {_GIVEN("f -> '$.old_path'")}), '/')[-1]) filename,
+ coalesce({_GIVEN("f -> '$.change_type_name'")}, case when {_GIVEN("f -> '$.change_type'")} is not null then regexp_extract({_GIVEN("f -> '$.change_type'")}, '\\.(.*)$', 1) end) change_type_name from f""",
+    "p7_records": f"{_NESTED} select record_id, {_HEADS} from r",
+    "p7_commits": f"""{_NESTED} select record_id, commit_pos, h hash, {_GIVEN("c -> '$.msg'")} msg, {_GIVEN("c -> '$.author.name'")} author_name, {_GIVEN("c -> '$.author.email'")} author_email from c""",
+    "p7_methods": f"""{_NESTED} select distinct record_id, h hash, file_pos, method_pos, {_GIVEN("k -> '$.name'")} as name, ({_GIVEN("k -> '$.start_line'")})::int start_line, ({_GIVEN("k -> '$.end_line'")})::int end_line from k""",
     "p1_found": f"select k author_email, a start_epoch, b end_epoch from ({_SESSIONS})",
     "p1_sessions": f"select k author_email, a start_epoch, b end_epoch, b - a duration_s, c commits from ({_SESSIONS})",
     "p3_found": f"select key_field, key_value from ({_STATS}) where share >= {HOT_SHARE}",

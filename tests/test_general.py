@@ -105,6 +105,11 @@ def test_history_tables(spark):
     assert triples(df.limit(0), F.col("record"), F.col("payload")).count() == 0
 
 
+def test_sessions_count_one_delivery(spark):
+    df = spark.createDataFrame([("a", 5, "e", 2), ("a", 5, "e", 7), ("a", 6, "f", 1)], "k string, t long, id string, n long")
+    assert [tuple(r)[1:] for r in sessions(df, F.col("k"), F.col("t"), 10, F.col("id"), sums={"n": F.col("n")}).collect()] == [(5, 6, 1, 2, 8)]
+
+
 def test_deep_payloads(spark):
     whole = lambda n: '{"commits": [{"hash": "h", "x": ' + '{"a":[' * n + "1" + "]}" * n + "}]}"
     inner = '{"commits": ' + json.dumps('[{"hash": "i", "x": ' + "[" * 12_000 + "]" * 12_000 + "}]") + "}"
@@ -116,15 +121,26 @@ def test_deep_payloads(spark):
     assert got == {("deep", "h"), ("text", "i")}
 
 
-def test_deep_parser_reads_as_json_does():
+def shredded(node, path="$", at=()):
+    kind = "object" if isinstance(node, dict) else "array" if isinstance(node, list) else "null" if node is None else type(node).__name__
+    yield path, list(at), None if kind in ("object", "array", "null") else node if isinstance(node, str) else json.dumps(node), kind
+    for k, v in node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ():
+        yield from shredded(v, f"{path}.{k}" if isinstance(node, dict) else path + "[]", at if isinstance(node, dict) else (*at, k))
+
+
+def test_the_stream_is_read_as_json_is():
     rng, parts = random.Random(2), list('{}[]:,"') + ['"a"', '"a":', "1", "-2.5e3", "null", "true", "NaN", " ", "\n", '"\\u00e9\\""', "x", "\u00a0"]
-    texts = ['{"a": [1, {"b": "c\\n", "b": []}, {}], "d": null}', " [ ] ", "", "1 2", "[1,]", '{"a":1,}', '{"a" 1}'] + ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(20_000)]
+    texts = ['{"a": [1, {"b": "c\\n", "b": []}, {}], "d": null}', " [ ] ", "", "1 2", "[1,]", '{"a":1,}', '{"a" 1}', '{"a": {"x": 1}, "ab": 2, "a": {"y": 3}}'] + ["".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(20_000)]
+    reader, whole, few = nested.Reader(frozenset(), None, None), nested.Every(), nested.tree("a.b", "d")
 
     def read(f, x):
         try:
-            return repr(f(x))
+            return sorted(map(repr, f(x)))
         except ValueError:
             return None
 
-    got = [read(json.loads, x) for x in texts]
-    assert [x for x, y in zip(texts, got) if read(nested._deep, x) != y] == [] and sum(y is not None for y in got) > 500
+    want = [read(lambda x: shredded(json.loads(x)), x) for x in texts]
+    assert [x for x, y in zip(texts, want) if read(lambda x: [tuple(t[:4]) for t in reader.read(x, whole)], x) != y] == [] and sum(y is not None for y in want) > 500
+    # what is not wanted is passed over, but must be well-formed
+    assert [x for x, y in zip(texts, want) if (read(lambda x: reader.read(x, few), x) is None) != (y is None)] == []
+    assert [t[0] for t in reader.read(texts[0], few)] == ["$", "$.a", "$.a[]", "$.a[]", "$.a[].b", "$.a[]", "$.d"]
