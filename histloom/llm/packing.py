@@ -2,7 +2,7 @@
 
 Bins are planned on counts per length, of which there are at most ``capacity``, so the driver's state does not grow
 with the data: each planned pattern (a multiset of lengths) is repeated as long as the lengths last. Items then
-find their place by their rank among items of equal length.
+find their place by their rank among items of equal length, which is counted in parts: a length that most items have is not ranked in one task.
 """
 
 from __future__ import annotations
@@ -13,31 +13,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from histloom.tables import Scratch
+
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the byte-level vocabularies (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a rank file, loaded once in each process."""
+def encoder(path: str, content: bytes | None = None):
+    """The tokenizer of a rank file, loaded once in each process; ``content``, if given, is the file's."""
     if path not in _ENCODERS:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        content = content if content is not None else read_file(path)
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines())}
         _ENCODERS[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
+def read_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def with_token_counts(documents: DataFrame, doc_id: Column, text: Column, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of whole texts; a null text has 0 tokens."""
+    """(doc_id, tokens) of whole texts; a null text has 0 tokens. The rank file (of fixed size) is read on the driver and sent to the executors."""
     d = documents.select(doc_id.alias("doc_id"), text.alias("text"))
+    sent = d.sparkSession.sparkContext.broadcast(read_file(tokenizer))
 
     def count(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, sent.value)
         for b in batches:
             n = [len(x) for x in enc.encode_ordinary_batch([t or "" for t in b["text"]], num_threads=1)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": n})
@@ -96,27 +104,25 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     return out
 
 
-def pack(items: DataFrame, item_id: Column, size: Column, capacity: int, spread: int = 64) -> DataFrame:
+def pack(items: DataFrame, item_id: Column, size: Column, capacity: int, part_items: int = 500_000) -> DataFrame:
     """(item_id, piece, size, container, place, start): every item's container and place in it.
 
     No item is cut unless it is longer than the capacity; such an item gives full pieces, each a container of its
     own, and a rest that is packed like an item. Items of size 0 or null need no room and get container -1, place
     0. ``place`` counts the pieces in a container, ``start`` is the piece's offset in it. Rows with equal ids are
-    packed each; ids must be orderable. ``spread``: equal lengths are ranked in so many parts, so that one length that
-    most items have is not ranked in one task.
+    packed each; ids must be orderable. Containers are numbered from 0; those of full pieces lie above the others and may leave numbers out.
+    ``part_items``: about so many pieces are ranked in one part. The items are evaluated once, and kept as a table.
     """
-    it = items.select(item_id.alias("item_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    scratch = Scratch(items.sparkSession, "packing")
+    it = scratch.save(items.select(item_id.alias("item_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size")))
     empty = it.filter("size <= 0").select("item_id", F.lit(0).alias("piece"), "size", F.lit(-1).cast("long").alias("container"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("start"))
-    pieces = it.filter("size > 0").select(
-        "item_id", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {capacity} as int)"))).alias("piece"), F.col("size").alias("whole")
-    ).select("item_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("piece").cast("long") * capacity).alias("size"))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("item_id", "piece"), F.lit(spread)))
-    per = pieces.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * spread rows
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(per, key=lambda r: (r["size"], r["part"])):
-        before[r["size"], r["part"]] = histogram.get(r["size"], 0)
-        histogram[r["size"]] = histogram.get(r["size"], 0) + r["n"]
+    whole = F.expr(f"cast(size div {capacity} as int)")
+    rest = it.filter(f"size > 0 and size % {capacity} > 0").select("item_id", whole.alias("piece"), (F.col("size") % capacity).alias("size"))
+    n, full = it.agg(F.count(F.when(F.col("size") % capacity > 0, 1)), F.sum(whole)).first()
+    parts = max(1, -(-n // part_items))
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("item_id", "piece"), F.lit(parts)))
+    per = scratch.save(rest.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {r["size"]: r["n"] for r in per.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # fewer than ``capacity`` rows
     # for each length, runs of ranks: from, first container, items of this length in each container, their place and start
     runs: dict[int, list[tuple[int, int, int, int, int]]] = {}
     used, container = {}, 0
@@ -128,16 +134,15 @@ def pack(items: DataFrame, item_id: Column, size: Column, capacity: int, spread:
             used[s] = used.get(s, 0) + k * times
             start, place = start + k * s, place + k
         container += times
-    lookup = {s: np.array(r, np.int64) for s, r in runs.items()}
-    sent = it.sparkSession.sparkContext.broadcast((lookup, before))
+    sent = it.sparkSession.sparkContext.broadcast({s: np.array(r, np.int64) for s, r in runs.items()})
+    before = per.select("size", "part", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     order = Window.partitionBy("size", "part").orderBy("item_id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = rest.withColumn("rank", F.row_number().over(order) - 1).join(before, ["size", "part"]).select("item_id", "piece", "size", (F.col("rank") + F.col("before")).alias("rank"))
 
     def assign(batches):
-        lookup, before = sent.value
+        lookup = sent.value
         for b in batches:
-            size, part = b["size"].to_numpy(), b["part"].to_numpy()
-            rank = b["rank"].to_numpy() + np.array([before[k] for k in zip(size.tolist(), part.tolist())], np.int64)
+            size, rank = b["size"].to_numpy(), b["rank"].to_numpy()
             out = np.zeros((len(b), 3), np.int64)
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
@@ -150,5 +155,9 @@ def pack(items: DataFrame, item_id: Column, size: Column, capacity: int, spread:
             yield pd.DataFrame({"item_id": b["item_id"], "piece": b["piece"], "size": size, "container": out[:, 0], "place": out[:, 1].astype("int32"), "start": out[:, 2]})
 
     kind = dict(it.dtypes)["item_id"]
-    packed = ranked.mapInPandas(assign, f"item_id {kind}, piece int, size long, container long, place int, start long")
-    return packed.unionByName(empty)
+    out = ranked.mapInPandas(assign, f"item_id {kind}, piece int, size long, container long, place int, start long").unionByName(empty)
+    scratch.keep(it, per)
+    if full:  # a full piece needs no rank: its row's number in the table is a container
+        cut = it.filter(f"size >= {capacity}").select("item_id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"), F.lit(capacity).cast("long").alias("size"))
+        out = out.unionByName(cut.withColumns({"container": F.monotonically_increasing_id() + container, "place": F.lit(0), "start": F.lit(0).cast("long")}))
+    return out
