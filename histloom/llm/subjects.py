@@ -1,13 +1,16 @@
 """Subject areas of documents: averaged word and subword embeddings with independent logistic outputs.
 
-A text is the weighted mean of the embeddings of its words, word pairs and five-letter pieces of its words (hashed into a table), the weight
-being term count times inverse document frequency over all documents. Each subject has its own logistic output. Training is synchronous:
-in every step each partition computes the gradient over its labelled documents, the gradients are added, and one Adam step is made.
+A text is the weighted mean of the embeddings of its words and of the five-letter pieces of its words, both hashed into a table of fixed size, so
+there is no vocabulary that words could be missing from: an unknown word is read by its pieces. The weight is the count times the inverse
+document frequency of the place in the table, over all documents. Embeddings begin at zero, so a place that no labelled text touches says nothing.
+Each subject has its own logistic output. Training is synchronous: in every step each partition computes the gradient over its labelled
+documents, the gradients are added, and one Adam step is made.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections import Counter
@@ -36,50 +39,46 @@ def clean(text: str) -> str:
     return text
 
 
-def terms(text: str | None) -> Counter:
-    """Hashes of words and of neighbouring words, with their counts; pairs have the lowest bit set."""
-    w = WORD.findall(CAMEL.sub(" ", clean(text or "")).lower())
-    out = Counter(w)
-    out.update(f"{a} {b}" for a, b in zip(w, w[1:]))
-    return out
-
-
-def code(term: str) -> int:
-    b = term.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(b) << 32 | zlib.adler32(b)) - (1 << 63)
+def words(text: str | None) -> Counter:
+    """The words of a text in lower case, with their counts; compounds in camel case and with underscores are taken apart."""
+    return Counter(WORD.findall(CAMEL.sub(" ", clean(text or "")).lower()))
 
 
 class Features:
-    """Table positions and weights of a text's terms."""
-
-    def __init__(self, idf: dict[int, float], buckets: int):
-        self.idf, self.buckets, self.memo = idf, buckets, {}
+    """Places in the table and weights of a text's words and pieces."""
+
+    def __init__(self, buckets: int, idf: np.ndarray | None = None):
+        self.buckets, self.idf, self.memo = buckets, idf, {}
+
+    def places(self, word: str) -> tuple:
+        """The places of a word and of its pieces, each with its share; the pieces weigh as much as the word together."""
+        hit = self.memo.get(word)
+        if hit is None:
+            raw = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.buckets
+            at = [(raw(word), 1.0)]
+            if len(word) > 4:
+                z = f"<{word}>"
+                n = len(z) - 4
+                at += [(raw("#" + z[i : i + 5]), 1.0 / n) for i in range(n)]
+            hit = tuple(at)
+            if len(self.memo) < 500_000:
+                self.memo[word] = hit
+        return hit
+
+    def counts(self, text: str | None) -> dict[int, float]:
+        acc: dict[int, float] = {}
+        for w, n in words(text).items():
+            k = 1.0 + math.log(n)
+            for p, f in self.places(w):
+                acc[p] = acc.get(p, 0.0) + k * f
+        return acc
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        acc: dict[int, float] = {}
-        for t, n in terms(text).items():
-            hit = self.memo.get(t)
-            if hit is None:
-                f = self.idf.get(code(t))
-                if f is None:
-                    hit = ()
-                else:
-                    at = [(zlib.crc32(t.encode()) % self.buckets, f)]
-                    if " " not in t and len(t) > 4:
-                        z = f"<{t}>"
-                        g = [z[i : i + 5] for i in range(len(z) - 4)]
-                        at += [(zlib.crc32(("#" + q).encode()) % self.buckets, f / len(g)) for q in g]
-                    hit = tuple(at)
-                if len(self.memo) < 500_000:
-                    self.memo[t] = hit
-            if hit:
-                k = 1.0 + np.log(n)
-                for p, f in hit:
-                    acc[p] = acc.get(p, 0.0) + k * f
-        if not acc:
-            return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        v = np.fromiter(acc.values(), np.float32, len(acc))
-        return np.fromiter(acc, np.int32, len(acc)), v / np.sqrt((v * v).sum())
+        acc = self.counts(text)
+        c = np.fromiter(acc, np.int32, len(acc))
+        v = np.fromiter(acc.values(), np.float32, len(acc)) * self.idf[c] if acc else np.zeros(0, np.float32)
+        norm = np.sqrt((v * v).sum())
+        return (c, (v / norm).astype(np.float32)) if norm > 0 else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
 def mean_of(table: np.ndarray, cols: list[np.ndarray], vals: list[np.ndarray]) -> np.ndarray:
@@ -100,7 +99,7 @@ class Model:
     @classmethod
     def fresh(cls, buckets: int, dim: int, subjects: int, seed: int = 0):
         rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.05, (buckets, dim)).astype(np.float32), rng.normal(0, 0.05, (dim, subjects)).astype(np.float32), np.full(subjects, -2.0, np.float32))
+        return cls(np.zeros((buckets, dim), np.float32), rng.normal(0, 0.05, (dim, subjects)).astype(np.float32), np.full(subjects, -2.0, np.float32))
 
     def scores(self, cols, vals) -> np.ndarray:
         table, weights, bias = self.parts
@@ -121,29 +120,38 @@ class Model:
         return [grad, h.T @ g, g.sum(0)]
 
 
-def document_frequencies(documents: DataFrame, least_share: float) -> tuple[dict[int, float], int]:
-    """Inverse document frequencies of the terms that at least ``least_share`` of all documents hold.
-
-    At most (terms per document) / least_share terms can qualify, whatever the number of documents.
-    """
+def document_frequencies(documents: DataFrame, buckets: int) -> np.ndarray:
+    """Inverse document frequency of each place of the table, over all documents; what comes to the driver is a number for each place."""
 
     def count(batches):
+        f, seen, n = Features(buckets), np.zeros(buckets, np.int64), 0
         for b in batches:
-            seen = Counter()
             for t in b["text"]:
-                seen.update({code(x) for x in terms(t)})
-            yield pd.DataFrame({"term": np.fromiter(seen, np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
-
-    n = documents.count()
-    df = documents.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, least_share * n))
-    return {r["term"]: float(np.log((n + 1) / r["n"])) for r in df.toLocalIterator()}, n
-
-
-def train(labelled: DataFrame, subjects: list[str], features: Features, buckets: int, dim: int, steps: int, rate: float, parts: int, drop: float) -> Model:
+                c = f.counts(t)
+                seen[np.fromiter(c, np.int64, len(c))] += 1
+            n += len(b)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"place": np.concatenate([at, [-1]]), "n": np.concatenate([seen[at], [n]])})
+
+    got = documents.select("text").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    df, n = np.ones(buckets), 0
+    for p, k in zip(got["place"], got["n"]):
+        if p < 0:
+            n = k
+        else:
+            df[p] = k
+    return np.log((n + 1) / df).astype(np.float32)
+
+
+def train(labelled: DataFrame, subjects: list[str], features: Features, dim: int, steps: int, rate: float, part_docs: int, drop: float) -> Model:
     """labelled: text, subjects (array). Synchronous data-parallel training; features are left out at random by step and partition."""
     spark = labelled.sparkSession
     scratch = Scratch(spark, "subjects")
     where = {s: i for i, s in enumerate(subjects)}
+    model = Model.fresh(features.buckets, dim, len(subjects))
+    parts = -(-labelled.count() // part_docs)
+    if not parts:
+        return model
     sent = spark.sparkContext.broadcast(features)
 
     def prepare(batches):
@@ -161,9 +169,6 @@ def train(labelled: DataFrame, subjects: list[str], features: Features, buckets:
     rows = labelled.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text", "subjects").repartition(parts, "part").sortWithinPartitions("part", "doc_id")
     data = scratch.save(rows.mapInPandas(prepare, "part int, c binary, v binary, y binary"))
     total = data.count()
-    model = Model.fresh(buckets, dim, len(subjects))
-    if not total:
-        return model
     m, v = [np.zeros_like(p) for p in model.parts], [np.zeros_like(p) for p in model.parts]
     for step in range(1, steps + 1):
         now = spark.sparkContext.broadcast(model.parts)
@@ -196,27 +201,28 @@ def train(labelled: DataFrame, subjects: list[str], features: Features, buckets:
             v[i] = 0.999 * v[i] + 0.001 * d * d
             model.parts[i] = (p - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         now.destroy()
+    scratch.drop(data)
     return model
 
 
 def assign(
     documents: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_doc: Column, label: Column, subjects: list[str],
-    least_share: float = 0.001, buckets: int = 1 << 16, dim: int = 16, steps: int = 50, rate: float = 0.05, parts: int = 6, drop: float = 0.9, threshold: float = 0.2, max_labelled: int = 20_000,
+    buckets: int = 1 << 16, dim: int = 16, steps: int = 50, rate: float = 0.05, part_docs: int = 1000, drop: float = 0.9, threshold: float = 0.15, max_labelled: int = 20_000,
 ) -> DataFrame:
     """(doc_id, subject, score): every subject whose score reaches ``threshold``; a document may have several or none.
 
     labels: hand labels, possibly repeated or partly wrong; a document with labels counts as fully labelled. Labels that are not in ``subjects`` or
-    without document are left out. At most ``max_labelled`` labelled documents, chosen by hash, are used for fitting (the bound documented for the classifier);
-    term statistics and scores cover all documents and whole texts. Null and empty texts have no feature and get no subject. Without labels the
-    result is empty. Subjects are a short fixed list.
+    without document are left out. At most ``max_labelled`` labelled documents, chosen by hash, are used for fitting (the bound documented for the classifier),
+    ``part_docs`` of them in a task; document frequencies and scores cover all documents and whole texts, and no word is left out. Null and empty texts
+    have no feature and get no subject. Without labels the result is empty. Subjects are a short fixed list. drop: share of the features left out at random in each step.
     """
     d = documents.select(doc_id.alias("doc_id"), text.alias("text"))
     known = labels.select(label_doc.alias("doc_id"), label.alias("subject")).filter(F.col("doc_id").isNotNull() & F.col("subject").isin(subjects))
     known = known.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    idf, _ = document_frequencies(d, least_share)
-    features = Features(idf, buckets)
-    labelled = d.filter("text is not null")
-    model = train(labelled.join(known, "doc_id"), subjects, features, buckets, dim, steps, rate, parts, drop)
+    features = Features(buckets, document_frequencies(d, buckets))
+    # read once: a bounded table
+    fit = Scratch(d.sparkSession, "labelled").save(d.filter("text is not null").join(known, "doc_id"))
+    model = train(fit, subjects, features, dim, steps, rate, part_docs, drop)
     sent = d.sparkSession.sparkContext.broadcast((features, model.parts, subjects))
     kind = dict(d.dtypes)["doc_id"]
     fitted = known.limit(1).count() > 0

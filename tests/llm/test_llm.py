@@ -408,7 +408,7 @@ def test_subjects_held_out(spark):
     docs += [(900, None), (901, ""), (902, " ".join(filler[:9]))]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("subject", F.lit("clash"))
     lab = spark.createDataFrame([(i, t) for i in range(160) for t in truth[i]] + [(0, "sea"), (1, "nonsense"), (None, "sea"), (5, None)], "doc_id long, subject string")
-    run = lambda a, b: subjects.assign(a, F.col("doc_id"), F.col("text"), b, F.col("doc_id"), F.col("subject"), sorted(topics), least_share=0.01, buckets=4096, steps=80, parts=3, drop=0.3, threshold=0.5)
+    run = lambda a, b: subjects.assign(a, F.col("doc_id"), F.col("text"), b, F.col("doc_id"), F.col("subject"), sorted(topics), buckets=4096, steps=80, part_docs=60, drop=0.3, threshold=0.5)
     got = {}
     for r in run(d, lab).collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
@@ -429,9 +429,15 @@ def test_subjects_on_the_tables(spark):
     have = {(r["doc_id"], r["subject"]) for r in got.filter(F.col("doc_id").isin(sorted(docs))).collect()}
     f1 = 2 * len(want & have) / (len(want) + len(have))
     print("held-out F1", f1)
-    assert f1 >= 0.7
+    assert f1 >= 0.75
 
 
 def test_clean_text():
     assert subjects.clean("cafÃ© &amp; x") == "café & x" and subjects.clean("plain") == "plain"
-    assert subjects.terms("loadBalancer load_balancer")["load balancer"] == 2
+    assert subjects.words("loadBalancer load_balancer") == {"load": 2, "balancer": 2}
+
+
+def test_unknown_words_have_features():
+    f = subjects.Features(4096, np.ones(4096, np.float32))
+    known, typo = f.of("kubernetes")[0], f.of("kubernetis")[0]
+    assert len(set(known) & set(typo)) >= 4 and len(f.of("")[0]) == len(f.of(None)[0]) == 0
