@@ -82,12 +82,20 @@ def _leaks(spark, d):
     return leakage.leaked(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
 
 
+PASSAGE = 13
+
+
 def p9_found(spark, d):
-    return _leaks(spark, d).select("doc_id", "item_id")
+    return _leaks(spark, d).filter(F.col("longest") >= PASSAGE).select("doc_id", "item_id")
 
 
 def p9_items(spark, d):
-    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("passages").alias("passages"))
+    return _leaks(spark, d).filter(F.col("longest") >= PASSAGE).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("passages").alias("passages"), F.max("longest").alias("longest"))
+
+
+def p9_edited(spark, d):
+    """Documents in which an item stands with changes only."""
+    return _leaks(spark, d).filter(F.col("longest") < PASSAGE).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _subjects(spark, d):
@@ -107,7 +115,7 @@ def p10_shares(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_entities, p4_found, p4_shares, p5_found, p5_reasons, p6_found, p6_redacted, p8_containers, p9_found, p9_items, p10_found, p10_shares)
+    for f in (p2_found, p2_entities, p4_found, p4_shares, p5_found, p5_reasons, p6_found, p6_redacted, p8_containers, p9_found, p9_items, p9_edited, p10_found, p10_shares)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -117,4 +125,12 @@ with i as (select item_id, {_WORDS} w from eval_items), d as (select doc_id, {_W
      wi as (select item_id, array_to_string(w[k : k + 12], ' ') g from i, lateral (select unnest(range(1, len(w) - 11)) k)),
      wd as (select doc_id, array_to_string(w[k : k + 12], ' ') g from d, lateral (select unnest(range(1, len(w) - 11)) k))
 select distinct doc_id, item_id from wd join wi using (g)""",
+    "p9_items": rf"""
+with i as (select item_id, {_WORDS} w from eval_items), d as (select doc_id, {_WORDS} w from documents),
+     wi as (select item_id, k q, array_to_string(w[k : k + 12], ' ') g from i, lateral (select unnest(range(1, len(w) - 11)) k)),
+     wd as (select doc_id, k p, array_to_string(w[k : k + 12], ' ') g from d, lateral (select unnest(range(1, len(w) - 11)) k)),
+     m as (select doc_id, item_id, p, q from wd join wi using (g)),
+     r as (select *, p - row_number() over (partition by doc_id, item_id, p - q order by p) isle from m), l as (select doc_id, item_id, count(*) + 12 n from r group by doc_id, item_id, p - q, isle),
+     a as (select doc_id, item_id, count(distinct p) passages from m group by all), b as (select doc_id, item_id, max(n) longest from l group by all)
+select item_id, count(*) documents, sum(passages) passages, max(longest) longest from a join b using (doc_id, item_id) group by item_id""",
 }

@@ -369,7 +369,14 @@ def test_leaks_against_brute_force(spark):
     dd = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     ii = spark.createDataFrame(items, "item_id long, text string")
     run = lambda a, b: leakage.leaked(a, F.col("doc_id"), F.col("text"), b, F.col("item_id"), F.col("text"))
-    assert {(r["doc_id"], r["item_id"]) for r in run(dd, ii).collect()} == want and len(want) > 20 and items0
+    rows = run(dd, ii).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["longest"] >= 13} == want and len(want) > 20 and items0
+    text, query = dict(docs[:-3]), dict(items[:12])
+    joined = lambda t: f" {' '.join(leakage.words_of(t))} "
+    for r in (r for r in rows if r["longest"]):
+        q = leakage.words_of(query[r["item_id"]])
+        runs = [n for n in range(13, len(q) + 1) if any(f" {' '.join(q[i : i + n])} " in joined(text[r["doc_id"]]) for i in range(len(q) - n + 1))]
+        assert r["longest"] == max(runs), r
     assert run(dd.limit(0), ii).count() == 0 and run(dd, ii.limit(0)).count() == 0
 
 
@@ -385,10 +392,29 @@ def test_leaks_in_item_blocks(spark, monkeypatch):
 def test_simhash_radius_is_complete():
     rng = np.random.default_rng(2)
     ix = leakage.WindowIndex([(0, " ".join(f"w{i}" for i in range(60)))], 13, 3)
-    base = ix.prints[rng.integers(0, len(ix.prints), 200)]
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in base], np.uint64)
-    at, _ = ix.near(base ^ flips)
-    assert set(at.tolist()) == set(range(200))
+    for size, (prints, *_) in ix.tables.items():
+        base = prints[rng.integers(0, len(prints), 200)]
+        flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in base], np.uint64)
+        at, _ = ix.near(size, base ^ flips)
+        assert set(at.tolist()) == set(range(200))
+    assert sorted(ix.tables) == [13, 42]
+
+
+def test_edited_items_are_found_within_the_radius(spark):
+    """A changed word in a long item leaves no need for an exact passage; with radius 0 or similarity 1 such an item is not found."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocab) for _ in range(120)]) for i in range(30)]
+    docs = []
+    for i, w in items:
+        t = list(w)
+        for k in range(6, 120, 12):  # no 13 words in a row are left
+            t[k] = "changed" if k % 24 else t[k - 1]
+        docs.append((i, " ".join([rng.choice(vocab) for _ in range(i)] + t)))
+    dd, ii = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i long, t string")
+    run = lambda **k: {(r["doc_id"], r["item_id"]) for r in leakage.leaked(dd, F.col("d"), F.col("t"), ii, F.col("i"), F.col("t"), **k).filter("longest = 0").collect()}
+    wide = run(radius=7, similarity=0.2)
+    assert len(wide) >= 20 and all(a == b for a, b in wide) and run(radius=0, similarity=0.2) < wide and run(radius=7, similarity=0.99) == set()
 
 
 # ---- subjects ----
