@@ -110,9 +110,33 @@ def test_hot_boilerplate_is_split(spark, monkeypatch):
 
 def test_rank_bits():
     rng = np.random.default_rng(1)
-    bits = rng.integers(0, 2, 1000).astype(np.uint8)
-    i = np.arange(1001)
-    assert (spans.RankBits(bits).ones(i) == np.concatenate([[0], np.cumsum(bits)])).all()
+    for share in (0.5, 0.01, 1.0):
+        bits = (rng.random(1000) < share).astype(np.uint8)
+        i = np.arange(1001)
+        r = spans.RankBits(bits)
+        assert (r.ones(i) == np.concatenate([[0], np.cumsum(bits)])).all()
+        assert (r.place(np.arange(bits.sum())) == np.flatnonzero(bits)).all()
+
+
+def test_long_texts_are_cut():
+    for t in ("A" * 1_000_000, "ab" * 300_000, "".join(random.Random(1).choice("abcd") for _ in range(50_000))):
+        _, s, e = spans.segments(t, 200, 64)
+        assert (e - s).max() <= spans.SEGMENT + 199 and (e - s).min() >= 200
+        assert s[0] == 0 and e[-1] == len(t) and (s[1:] == e[:-1] - 199).all()
+
+
+def test_the_search_decides():
+    """Without the search the index knows nothing of the texts: a damaged BWT changes what is found."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc") for _ in range(90)) for _ in range(6)]
+    texts += [t[10:60] + "x" * 10 for t in texts[:3]]
+    owner = np.arange(len(texts))
+    index = spans.FmIndex(texts, owner, owner, 20)
+    good = index.stream(texts)
+    assert sum(map(sum, good)) >= 6 * 31 and not hasattr(index, "text") and not hasattr(index, "suffix")
+    index.levels[0].words[:] = 0
+    index.levels[0].before[:] = 0
+    assert any((a != b).any() for a, b in zip(good, index.stream(texts)))
 
 
 # ---- hand-written files ----
