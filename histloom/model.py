@@ -29,6 +29,12 @@ def _first(v: str) -> Column:
     return F.min_by(v, F.struct(F.col("extracted_at").isNull(), "extracted_at"))
 
 
+def first_deliveries(raw: DataFrame) -> DataFrame:
+    """Whole commit records, one per hash: the first delivery; failed extractions are kept."""
+    v = F.struct(*[F.col(c) for c in raw.columns])
+    return raw.filter("hash is not null").select("hash", "extracted_at", v.alias("v")).groupBy("hash").agg(_first("v").alias("v")).select("v.*")
+
+
 def commits_view(raw: DataFrame, *extra: tuple[str, Column]) -> DataFrame:
     """One narrow row per commit: the first delivery of each hash, failed extractions left out."""
     cols = _commit_columns() | dict(extra)

@@ -394,8 +394,22 @@ def a45_combined_weeks(s, d):
 
 
 def c9_groups(s, d):
+    """Repositories by category and organisation (here the user)."""
     a = table(s, d, "analysis_files")
-    return a.groupBy("repo_category", "ecosystem").agg(F.countDistinct("repository_name").alias("repositories"))
+    return a.groupBy("repo_category", F.col("project_name").alias("organization")).agg(F.countDistinct("repository_name").alias("repositories"))
+
+
+def j9_not_written(s, d):
+    """Repositories without a full analysis file; the files' names are made from the headers at hand."""
+    names = table(s, d, "analysis_files").filter("analysis_period.full_history").select(F.concat(F.lit("out/"), F.concat_ws("_", "project_name", "repository_name", F.lit("full_history_analysis.json"))).alias("name"))
+    return readers.not_written(readers.usable_repos(table(s, d, "repos")), names)
+
+
+def u1_chunks(s, d):
+    """Commits cut into chunks by year of author date and put together again, by repository."""
+    c = table(s, d, "commits").filter("error is null").select("hash", "project_name", F.substring("author_date", 1, 4).alias("year"))
+    cut = readers.union_of([c.filter("year < '2017'"), c.filter("year >= '2017'").drop("year"), c.filter("year is null")])
+    return cut.groupBy(F.col("project_name").alias("repo")).agg(F.count(F.lit(1)).alias("deliveries"), F.countDistinct("hash").alias("commits"))
 
 
 def u5_date_chunks(s, d):
@@ -411,7 +425,7 @@ QUERIES = {
         a19_unrealistic_commits, a20_diff_delta, a21_velocity, a21_velocity_weekly, a22_code_provenance, a24_sessions_2h, a27_developer_hours, a27_developer_totals, a28_code_domain, a28_code_domain_weekly, a29_basic_stats, a30_a34_intervals,
         a31_work_sessions, a31_last_sessions, a32_daily_patterns, a33_weekly_patterns, a35_rhythm, a36_sustained, a37_repo_activity, a38_weekly_stats, a38_developer_summary, a39_a41_trends, a42_top_developers, m_true_churn, m17_weekly_merge,
         f_path_rules, f_line_rules, f6_bug_messages, f4_month_range, w_week_keys, w1_analysis_weeks, s1_repositories, s6_date_range, s10_accessible, f2_f3_users, f21_addresses, j8_not_done, k1_k2_reports, k4_combined,
-        k6_completed, a44_summary, a45_combined_weeks, c9_groups, u5_date_chunks,
+        k6_completed, a44_summary, a45_combined_weeks, c9_groups, j9_not_written, u1_chunks, u5_date_chunks,
     )
 }
 

@@ -210,7 +210,9 @@ SQL = {
     "k4_combined": f"with recursive x as ({_REPORTS}) select username, count(*) repositories, sum(total_commits) total_commits, sum(total_lines_added) total_lines_added, sum(total_lines_removed) total_lines_removed from x group by username",
     "k6_completed": "select username from completed_users where username is not null union select username from repos where username is not null",
     "a44_summary": "select project_name, count(*) files, sum(coalesce(processing.total_commits, 0)) total_commits, sum(coalesce(processing.total_lines_added, 0)) total_lines_added, sum(coalesce(processing.total_lines_removed, 0)) total_lines_removed from analysis_files group by project_name",
-    "c9_groups": "select repo_category, ecosystem, count(distinct repository_name) repositories from analysis_files group by all",
+    "c9_groups": "select repo_category, project_name organization, count(distinct repository_name) repositories from analysis_files group by all",
+    "j9_not_written": f"select * from {_REPOS} r where not exists (select 1 from analysis_files a where analysis_period.full_history and concat_ws('_', a.project_name, a.repository_name, 'full_history_analysis.json') like replace(replace(r.username || '_' || r.repo_name, '_', '\\_'), '%', '\\%') || '\\_%' escape '\\')",
+    "u1_chunks": "select project_name repo, count(*) deliveries, count(distinct hash) commits from commits where error is null group by all",
     "u5_date_chunks": "select i::int chunk, strftime(date '2014-01-01' + (i * 521)::int, '%Y-%m-%d') from_day, case when i = 6 then '2024-01-01' else strftime(date '2014-01-01' + ((i + 1) * 521)::int, '%Y-%m-%d') end to_day from range(7) t(i)",
 }
 

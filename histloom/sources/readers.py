@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Iterator
+import subprocess
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,49 +130,150 @@ def date_chunks(spark: SparkSession, start: str, end: str, n: int) -> DataFrame:
     )
 
 
-_COMMIT = re.compile(r"^commit ([0-9a-f]{7,64})", re.M)
+def union_of(chunks: list[DataFrame]) -> DataFrame:
+    """Commits of several chunks in one table; members that a chunk lacks are null. A commit that lies in two chunks comes twice, as two deliveries."""
+    out = chunks[0]
+    for c in chunks[1:]:
+        out = out.unionByName(c, allowMissingColumns=True)
+    return out
+
+
+def not_written(repos: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """Repositories that no file names: user_repository_<anything>_analysis.json (or .7z), in any folder.
+
+    Every part of a file's name that ends before an underscore may be a user and repository, so the files are looked up by equality.
+    """
+    stem = F.regexp_extract(F.regexp_extract(name, r"([^/]+)$", 1), r"^(.+_.*_analysis)\.(?:json|7z)$", 1)
+    words = F.split(stem, "_")
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda n: F.array_join(F.slice(words, F.lit(1), n), "_"))
+    done = files.filter(stem != "").select(F.explode(heads).alias("_done")).distinct()
+    return repos.join(done, F.concat_ws("_", "username", "repo_name") == F.col("_done"), "left_anti")
+
+
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the analysis files below a folder; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*_analysis.{json,7z}").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("name"))
+
+
+_COMMIT = re.compile(r"^commit ([0-9a-f]{7,64})((?: [0-9a-f]{7,64})*)", re.M)
+_HUNK = re.compile(r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
+_ZONE = re.compile(r"([+-])(\d{2}):?(\d{2})$")
+
+
+def _who(head: str, label: str) -> tuple[str | None, str | None]:
+    m = re.search(rf"^{label}:\s*(.*?)\s*<([^>]*)>", head, re.M)
+    return (m[1], m[2]) if m else (None, None)
 
 
-def git_log_records(text: str) -> Iterator[tuple]:
-    """(hash, name, email, date, message, path, diff) of ``git log -p --date=iso`` output; a row for each file, one with null path if none."""
+def _when(head: str, label: str) -> tuple[str | None, int | None]:
+    """A date as written, and its offset in seconds, sign inverted."""
+    m = re.search(rf"^{label}:\s*(.+?)\s*$", head, re.M)
+    z = _ZONE.search(m[1]) if m else None
+    return (m and m[1]), (None if z is None else -(1 if z[1] == "+" else -1) * (int(z[2]) * 3600 + int(z[3]) * 60))
+
+
+def parsed_diff(diff: str) -> dict[str, list[list[str]]]:
+    """[number, text] of the added and the deleted lines."""
+    out: dict[str, list[list[str]]] = {"added": [], "deleted": []}
+    old = new = 0
+    for line in diff.split("\n"):
+        h = _HUNK.match(line)
+        if h:
+            old, new = int(h[1]), int(h[2])
+        elif line[:1] == "+":
+            out["added"].append([str(new), line[1:]])
+            new += 1
+        elif line[:1] == "-":
+            out["deleted"].append([str(old), line[1:]])
+            old += 1
+        elif line[:1] == " ":
+            old, new = old + 1, new + 1
+    return out
+
+
+def _file_record(text: str) -> dict:
+    """One file of a commit, from what follows ``diff --git``."""
+    head, at = text, text.find("\n@@")
+    head, diff = (text, "") if at < 0 else (text[:at], text[at + 1 :].rstrip("\n") + "\n")
+    get = lambda rx: (m := re.search(rx, head, re.M)) and m[1].rstrip("\t")
+    names = re.match(r"a/(.*?) b/(.*)", head)
+    old, new = get(r"^rename from (.*)$") or get(r"^--- a/(.*)$") or (names and names[1]), get(r"^rename to (.*)$") or get(r"^\+\+\+ b/(.*)$") or (names and names[2])
+    kind = "ADD" if "\nnew file mode" in head else "DELETE" if "\ndeleted file mode" in head else "RENAME" if "\nrename from" in head else "COPY" if "\ncopy from" in head else "MODIFY"
+    old, new = (None if kind == "ADD" else old), (None if kind == "DELETE" else new)
+    lines = parsed_diff(diff)
+    return {
+        "old_path": old, "new_path": new, "filename": (new or old or "").rsplit("/", 1)[-1], "change_type": f"ModificationType.{kind}", "change_type_name": kind, "diff": diff, "diff_parsed": lines,
+        "added_lines": len(lines["added"]), "deleted_lines": len(lines["deleted"]),
+    }
+
+
+def git_commit_records(text: str, repo: str | None = None) -> Iterator[dict]:
+    """Commit records of ``git log -p --format=fuller --date=iso --parents`` output, oldest first. A commit that cannot be read has hash, date, message and error only."""
     at = [m.start() for m in _COMMIT.finditer(text)] + [len(text)]
-    for a, b in zip(at, at[1:]):
+    for a, b in reversed(list(zip(at, at[1:]))):
         head, _, body = text[a:b].partition("\n\n")
-        who = re.search(r"^Author:\s*(.*?)\s*<([^>]*)>", head, re.M)
-        when = re.search(r"^(?:Author)?Date:\s*(.+)$", head, re.M)
+        m = _COMMIT.match(head)
         message, *diffs = re.split(r"^diff --git ", body, flags=re.M)
         msg = "\n".join(x[4:] if x.startswith("    ") else x for x in message.strip("\n").split("\n"))
-        base = (head.split()[1], who and who[1], who and who[2], when and when[1].strip(), msg)
-        if not diffs:
-            yield (*base, None, None)
-        for d in diffs:
-            path = re.match(r"a/.* b/(.*)", d)
-            hunk = d.find("\n@@")
-            yield (*base, path and path[1], d[hunk + 1 :] if hunk >= 0 else "")
-
-
-def git_logs(logs: DataFrame, repo: Column, text: Column) -> DataFrame:
-    """File changes parsed from the text of git logs, one repository at a time."""
+        written, zone = _when(head, "AuthorDate") if "\nAuthorDate:" in head else _when(head, "Date")
+        try:
+            author, committer = _who(head, "Author"), _who(head, "Commit")
+            done, done_zone = _when(head, "CommitDate")
+            parents = m[2].split() or ((x := re.search(r"^Merge:\s*(.*)$", head, re.M)) and x[1].split()) or []
+            files = [_file_record(d) for d in diffs]
+            added, deleted = sum(f["added_lines"] for f in files), sum(f["deleted_lines"] for f in files)
+            yield {
+                "hash": m[1], "msg": msg, "author": {"name": author[0], "email": author[1]}, "committer": {"name": committer[0] or author[0], "email": committer[1] or author[1]}, "author_date": written, "author_timezone": zone,
+                "committer_date": done or written, "committer_timezone": zone if done is None else done_zone, "merge": len(parents) > 1, "parents": parents, "project_name": repo, "insertions": added, "deletions": deleted, "lines": added + deleted,
+                "files": len(files), "modified_files": files,
+            }
+        except Exception as e:  # one commit's fault is that commit's
+            yield {"hash": m[1], "msg": msg[:100] + ("..." if len(msg) > 100 else ""), "author_date": written, "error": str(e), "project_name": repo}
+
+
+def git_logs(logs: DataFrame, repo: Column, text: Column, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Commit records parsed from the text of git logs, with the size caps of extraction; one repository's text at a time.
+
+    since, until: first and last author date to keep, as texts that begin like the dates do (YYYY-MM-DD, with a time or not); commits without date are kept. seq: the commit's place in its repository, oldest first.
+    """
+    schema = COMMIT_TYPE[len("struct<") : -1]
 
     def read(batches):
         for b in batches:
             for r, t in zip(b["repo"], b["text"]):
-                yield pd.DataFrame([(r, *x) for x in git_log_records(t or "")], columns=["repo", "hash", "name", "email", "date", "msg", "path", "diff"])
+                rows = list(git_commit_records(t or "", r))
+                for lo in range(0, len(rows), 1000):
+                    yield pd.DataFrame({"seq": range(lo, min(len(rows), lo + 1000)), "record": [json.dumps(x) for x in rows[lo : lo + 1000]]})
+
+    parsed = logs.select(repo.alias("repo"), text.alias("text")).mapInPandas(read, "seq long, record string").select("seq", F.from_json("record", f"struct<{schema}>").alias("c")).select("c.*", "seq")
+    if since:
+        parsed = parsed.filter(F.col("author_date").isNull() | (F.substring("author_date", 1, len(since)) >= since))
+    if until:
+        parsed = parsed.filter(F.col("author_date").isNull() | (F.substring("author_date", 1, len(until)) <= until))
+    return parsed.withColumn("modified_files", capped_files(F.col("modified_files")))
+
 
-    return logs.select(repo.alias("repo"), text.alias("text")).mapInPandas(read, "repo string, hash string, name string, email string, date string, msg string, path string, diff string")
+def remote_answers(url: str, seconds: float = 5.0) -> bool:
+    """Whether a repository's address answers a listing of its references in time."""
+    done = subprocess.run(["git", "ls-remote", url], stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, timeout=seconds, env={**os.environ, "GIT_TERMINAL_PROMPT": "0"})
+    return done.returncode == 0
 
 
-def accessible(repos: DataFrame, probe) -> DataFrame:
-    """Repositories with a flag from ``probe(url) -> bool``; a probe that fails means no."""
+def accessible(repos: DataFrame, probe: Callable[[str], bool] = remote_answers, seconds: float = 5.0, threads: int = 32) -> DataFrame:
+    """Repositories with a flag from ``probe(url) -> bool``; a probe that fails or takes longer than ``seconds`` means no. ``threads`` probes run at once in each task."""
 
     def run(batches):
         for b in batches:
-            flags = []
+            pool = ThreadPoolExecutor(threads)
+            asked, flags = [], []
             for u in b["url"]:
-                try:
-                    flags.append(bool(probe(u)))
+                asked.append(pool.submit(probe, u))
+            for k, f in enumerate(asked):
+                try:  # those ahead in the queue have had their time already
+                    flags.append(bool(f.result(timeout=seconds * (1 + k // threads) + 1)))
                 except Exception:
                     flags.append(False)
+            pool.shutdown(wait=False, cancel_futures=True)
             yield b.assign(accessible=flags)
 
     return repos.select(*REPO_FIELDS).mapInPandas(run, "username string, repo_name string, url string, accessible boolean")

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime
 
@@ -252,17 +253,126 @@ def test_sources_and_sinks(spark, tmp_path):
     (tree / "lib_data.json").write_text("{}")
     (tree / "z_forked.json").write_text("{}")
     assert [r[:] for r in readers.repo_tree(spark, str(tmp_path / "tree")).collect()] == [("ann", "lib", "https://github.com/ann/lib")]
-    log = "commit 1234567abc\nAuthor: A B <a@b.example>\nDate:   2020-01-01 00:00:00 +0100\n\n    msg\n    two\n\ndiff --git a/x.py b/x.py\nindex 1..2\n--- a/x.py\n+++ b/x.py\n@@ -1,1 +1,1 @@\n-a\n+b\n"
-    got = readers.git_logs(spark.createDataFrame([("r", log), ("r", None)], "r string, t string"), F.col("r"), F.col("t")).collect()
-    assert len(got) == 1 and got[0]["path"] == "x.py" and got[0]["msg"] == "msg\ntwo" and got[0]["diff"].startswith("@@")
     raw = frame(spark, [commit("1", "2020-01-01 00:00:00+00:00", [change("a.py", n=(3, 1))], repo="x")])
     rep = writers.repo_reports(model.commits_view(raw), repos)
     assert sorted(r["total_commits"] for r in rep.collect()) == [0, 0, 1]
     assert writers.combined(rep, repos.filter("repo_name = 'y'")).count() == 3
     raw.write.parquet(str(tmp_path / "commits"))
-    done = cli.run(spark, ["--commits", str(tmp_path / "commits"), "--csv", str(csv), "--out", str(tmp_path / "out"), "--metrics", "change_set", "code_churn"])
-    assert done == ["reports", "change_set", "code_churn"]
-    assert spark.read.parquet(str(tmp_path / "out" / "change_set")).count() == 1
+    done = cli.run(spark, ["--commits", str(tmp_path / "commits"), "--csv", str(csv), "--out", str(tmp_path / "out"), "--metrics", "change_set", "code_churn", "no_such_metric"])
+    assert done == ["change_set", "code_churn", "reports"]
+    assert spark.read.parquet(str(tmp_path / "out" / "change_set")).count() == 0  # one commit makes no week: its range is empty
+    for f in ("bob_x_full_history_analysis.json", "Bo_z_2019_2020_analysis.7z", "other.json"):
+        (tmp_path / "tree" / f).write_text("{}")
+    left = readers.not_written(repos, readers.written_files(spark, str(tmp_path / "tree")))
+    assert sorted(r["username"] for r in left.collect()) == ["Al"]
+
+
+LOG = """commit 2222222bbb 1111111aaa 0000000fff
+Merge: 1111111aaa 0000000fff
+Author:     A B <a@b.example>
+AuthorDate: 2020-01-02 10:00:00 +0100
+Commit:     C D <c@d.example>
+CommitDate: 2020-01-03 00:00:00 -0230
+
+    second
+
+diff --git a/old.py b/dir/new.py
+similarity index 90%
+rename from old.py
+rename to dir/new.py
+--- a/old.py
++++ b/dir/new.py
+@@ -1,3 +1,3 @@ def f():
+ a
+-b
++c
+ d
+diff --git a/gone.txt b/gone.txt
+deleted file mode 100644
+--- a/gone.txt
++++ /dev/null
+@@ -1,1 +0,0 @@
+-x
+
+commit 1111111aaa
+Author:     A B <a@b.example>
+AuthorDate: 2020-01-01 00:00:00 +0000
+Commit:     A B <a@b.example>
+CommitDate: 2020-01-01 00:00:00 +0000
+
+    first
+    two lines
+
+diff --git a/old.py b/old.py
+new file mode 100644
+--- /dev/null
++++ b/old.py
+@@ -0,0 +1,2 @@
++a
++b
+"""
+
+
+def test_git_logs(spark):
+    logs = spark.createDataFrame([("r", LOG), ("e", ""), ("n", None)], "r string, t string")
+    rows = {r["hash"]: r for r in readers.git_logs(logs, F.col("r"), F.col("t")).collect()}
+    one, two = rows["1111111aaa"], rows["2222222bbb"]
+    assert (one["seq"], two["seq"], one["msg"], two["merge"], two["parents"]) == (0, 1, "first\ntwo lines", True, ["1111111aaa", "0000000fff"])
+    assert two["committer"][:] == ("C D", "c@d.example") and (two["author_timezone"], two["committer_timezone"]) == (-3600, 9000) and two["project_name"] == "r"
+    assert (two["insertions"], two["deletions"], two["files"]) == (1, 2, 2)
+    a, b = two["modified_files"]
+    assert (a["old_path"], a["new_path"], a["filename"], a["change_type_name"], a["diff_parsed"][:]) == ("old.py", "dir/new.py", "new.py", "RENAME", ([["2", "c"]], [["2", "b"]]))
+    assert (b["old_path"], b["new_path"], b["filename"], b["change_type"], b["deleted_lines"]) == ("gone.txt", None, "gone.txt", "ModificationType.DELETE", 1)
+    assert one["modified_files"][0]["old_path"] is None and one["modified_files"][0]["diff"] == "@@ -0,0 +1,2 @@\n+a\n+b\n"
+    pick = lambda **k: sorted(r["hash"][:1] for r in readers.git_logs(logs, F.col("r"), F.col("t"), **k).collect())
+    assert (pick(since="2020-01-02"), pick(until="2020-01-01"), pick(since="2020-01-01", until="2020-01-02")) == (["2"], ["1"], ["1", "2"])
+    assert model.commits_view(readers.git_logs(logs, F.col("r"), F.col("t")).withColumn("extracted_at", F.lit(None).cast("timestamp"))).count() == 2
+
+
+def test_a_commit_that_cannot_be_read_is_a_row_with_its_error(monkeypatch):
+    monkeypatch.setattr(readers, "_file_record", lambda text: 1 / 0)
+    got = list(readers.git_commit_records(LOG, "r"))
+    assert [(g["hash"], g["error"]) for g in got] == [("1111111aaa", "division by zero"), ("2222222bbb", "division by zero")]
+
+
+def test_probes_have_a_time_limit(spark, tmp_path):
+    import subprocess
+    import time
+
+    subprocess.run(["git", "init", "-q", "--bare", str(tmp_path / "here")], check=True)
+    assert readers.remote_answers(str(tmp_path / "here")) and not readers.remote_answers(str(tmp_path / "nowhere"))
+    repos = spark.createDataFrame([("u", f"r{i}", x) for i, x in enumerate(["yes", "no", "slow", "bad"] + ["yes"] * 40)], "username string, repo_name string, url string").coalesce(1)
+
+    def probe(url):
+        if url == "slow":
+            time.sleep(20)
+        return {"yes": True, "no": False}[url]
+
+    began = time.time()
+    got = readers.accessible(repos, probe, seconds=0.5, threads=8).groupBy("url").agg(F.max("accessible").alias("a")).collect()
+    assert {r["url"]: r["a"] for r in got} == {"yes": True, "no": False, "slow": False, "bad": False} and time.time() - began < 15
+
+
+def test_reports_from_json(spark, tmp_path):
+    """Analysis files in, the same commits and the weekly metrics out."""
+    day = lambda k: f"2020-01-{k:02d} 00:00:00+00:00"
+    commits = [commit(f"h{k}", day(k), [change(f"a{k}.py", "@@ -0,0 +1,1 @@\n+x = \"é\"\n", [(1, 'x = "é"')])], repo="x") for k in (1, 2, 9, 10)]
+    doc = {"project_name": "bob", "repository_name": "x", "commits": commits, "process_metrics": {}, "processing": {"total_commits": 4}}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bob_x_analysis.json").write_text(json.dumps(doc))
+    (tmp_path / "r.csv").write_text("username,repo_name,url\nbob,x,https://github.com/bob/x\nal,empty,https://h.example/y\n")
+    done = cli.run(spark, ["--commits", str(tmp_path / "in" / "*.json"), "--csv", str(tmp_path / "r.csv"), "--out", str(tmp_path / "out"), "--metrics", "change_set", "commits_count", "--ecosystem", "e"])
+    assert done == ["change_set", "commits_count", "reports"]
+    assert {(r["repo"], r["week_label"], r["max_files"]) for r in spark.read.parquet(str(tmp_path / "out" / "change_set")).collect()} == {("x", "Week_1_2020-01-01", 1), ("x", "Week_2_2020-01-08", 1)}
+    read = lambda folder: json.loads("\n".join(p.read_text().rstrip("\n") for p in sorted((tmp_path / "out" / "reports" / folder).glob("part-*"))))
+    got = read("username=bob/repo_name=x")
+    assert [c["hash"] for c in got["commits"]] == ["h1", "h2", "h9", "h10"] and got["commits"][0]["modified_files"][0]["diff"] == commits[0]["modified_files"][0]["diff"]
+    assert (got["ecosystem"], got["metrics_type"], got["processing"]["total_commits"], got["analysis_period"]) == ("e", "weekly", 4, {"start_date": "2020-01-01", "end_date": "2020-01-10", "full_history": False})
+    week = got["process_metrics"]["Week_2_2020-01-08"]["productivity"]
+    assert week["change_set"] == [{"max_files": 1, "avg_files": 1.0}] and [r["path"] for r in week["commits_count"]] == ["a10.py", "a9.py"]
+    assert read("username=al/repo_name=empty")["commits"] == []
+    again = readers.commits_of(readers.analysis_files(spark, str(tmp_path / "in" / "*.json")))
+    assert again.count() == 4
 
 
 def test_size_caps(spark):
@@ -271,6 +381,21 @@ def test_size_caps(spark):
     assert [(f["filename"], f["source_code"]) for f in files] == [("a.py", "x"), ("b.py", None)]
 
 
+def test_streaming_weeks(spark, tmp_path):
+    from histloom.streaming.weeks import SUNDAY, read_stream, weekly_totals
+
+    rows = [("a", "2020-01-05 23:59:59", 1), ("a", "2020-01-06 00:00:00", 2), ("a", "2020-01-12 12:00:00", None), (None, "2020-01-06 00:00:00", 9), ("b", "2020-01-06 05:00:00", 4), ("z", "2020-03-01 00:00:00", 1)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "k string, t string, n long").withColumn("t", F.to_timestamp("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for start, want in (("4 days", {("a", "2019-12-30", 1, 1), ("a", "2020-01-06", 2, 2), ("b", "2020-01-06", 1, 4)}), (SUNDAY, {("a", "2020-01-05", 2, 3), ("a", "2020-01-12", 1, 0), ("b", "2020-01-05", 1, 4)})):
+        stream = read_stream(spark, str(tmp_path / "in"), "k string, t timestamp, n long", max_files=2)
+        out, at = str(tmp_path / f"out{start}"), str(tmp_path / f"ck{start}")
+        q = weekly_totals(stream, F.col("k"), F.col("t"), {"n": F.col("n")}, late="60 days", start=start).writeStream.outputMode("complete").format("memory").queryName("weeks").trigger(availableNow=True).option("checkpointLocation", at).start()
+        q.awaitTermination()
+        assert want <= {tuple(r) for r in spark.table("weeks").collect()} and len([p for p in q.recentProgress if p["numInputRows"]]) >= 3 and out
+        spark.sql("drop view weeks")
+
+
 def test_streaming_sessions(spark, tmp_path):
     from histloom.streaming.sessions import streaming_sessions, write_sessions
 
