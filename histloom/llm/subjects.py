@@ -2,7 +2,7 @@
 
 A text is the weighted mean of the embeddings of its words and of the five-letter pieces of its words, both hashed into a table of fixed size, so
 there is no vocabulary that words could be missing from: an unknown word is read by its pieces. The weight is the count times the inverse
-document frequency of the place in the table, over all documents. Embeddings begin at zero, so a place that no labelled text touches says nothing.
+document frequency of the place in the table, over all documents (a document counts for a place once for each of its words that has it). Embeddings begin at zero, so a place that no labelled text touches says nothing.
 Each subject has its own logistic output. Training is synchronous: in every step each partition computes the gradient over its labelled
 documents, the gradients are added, and one Adam step is made.
 """
@@ -29,7 +29,10 @@ GARBLED = re.compile("[ÃÂ][\u0080-¿‘-›Š-ž€™]|â€")
 
 def clean(text: str) -> str:
     """Entities resolved and wrongly decoded accents repaired."""
-    text = html.unescape(text)
+    if "&" in text:
+        text = html.unescape(text)
+    if text.isascii():
+        return text
     if GARBLED.search(text):
         for code in ("cp1252", "latin-1"):
             try:
@@ -65,20 +68,54 @@ class Features:
                 self.memo[word] = hit
         return hit
 
-    def counts(self, text: str | None) -> dict[int, float]:
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct places and their weights, as parts of the length of the text's word weights."""
         acc: dict[int, float] = {}
+        square = 0.0
         for w, n in words(text).items():
             k = 1.0 + math.log(n)
             for p, f in self.places(w):
-                acc[p] = acc.get(p, 0.0) + k * f
-        return acc
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        acc = self.counts(text)
-        c = np.fromiter(acc, np.int32, len(acc))
-        v = np.fromiter(acc.values(), np.float32, len(acc)) * self.idf[c] if acc else np.zeros(0, np.float32)
-        norm = np.sqrt((v * v).sum())
-        return (c, (v / norm).astype(np.float32)) if norm > 0 else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+                x = k * f * self.idf[p]
+                acc[p] = acc.get(p, 0.0) + x
+                square += x * x
+        if square <= 0:
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.fromiter(acc, np.int32, len(acc)), (np.fromiter(acc.values(), np.float64, len(acc)) / math.sqrt(square)).astype(np.float32)
+
+
+class WordVectors:
+    """What each word adds to a text's mean: the same sums as over places, made once for each word."""
+
+    def __init__(self, features: Features, table: np.ndarray, most: int = 500_000):
+        self.features, self.table, self.most, self.at = features, table, most, {}
+        self.vectors, self.squares = np.zeros((1024, table.shape[1]), np.float32), np.zeros(1024)
+
+    def _index(self, word: str) -> int:
+        k = self.at.get(word)
+        if k is None:
+            k = len(self.at)
+            if k == len(self.squares):
+                self.vectors, self.squares = np.concatenate([self.vectors, np.zeros_like(self.vectors)]), np.concatenate([self.squares, np.zeros_like(self.squares)])
+            places = self.features.places(word)
+            c, x = np.array([p for p, _ in places]), np.array([f for _, f in places]) * self.features.idf[[p for p, _ in places]]
+            self.vectors[k], self.squares[k] = x @ self.table[c], x @ x
+            self.at[word] = k
+        return k
+
+    def mean(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The mean of each text, and whether it has any feature."""
+        if len(self.at) > self.most:
+            self.at.clear()
+        out, has = np.zeros((len(texts), self.table.shape[1]), np.float32), np.zeros(len(texts), bool)
+        for i, t in enumerate(texts):
+            n = words(t)
+            if n:
+                at = [self._index(w) for w in n]
+                k = 1.0 + np.log(np.fromiter(n.values(), np.float64, len(n)))
+                square = (k * k) @ self.squares[at]
+                if square > 0:
+                    out[i], has[i] = k @ self.vectors[at] / math.sqrt(square), True
+        return out, has
 
 
 def mean_of(table: np.ndarray, cols: list[np.ndarray], vals: list[np.ndarray]) -> np.ndarray:
@@ -101,9 +138,9 @@ class Model:
         rng = np.random.default_rng(seed)
         return cls(np.zeros((buckets, dim), np.float32), rng.normal(0, 0.05, (dim, subjects)).astype(np.float32), np.full(subjects, -2.0, np.float32))
 
-    def scores(self, cols, vals) -> np.ndarray:
-        table, weights, bias = self.parts
-        return 1 / (1 + np.exp(-(mean_of(table, cols, vals) @ weights + bias)))
+    def scores(self, means: np.ndarray) -> np.ndarray:
+        _, weights, bias = self.parts
+        return 1 / (1 + np.exp(-(means @ weights + bias)))
 
     def gradient(self, cols, vals, labels: np.ndarray, drop: float = 0.0, rng: np.random.Generator | None = None) -> list[np.ndarray]:
         """Summed gradient of the logistic losses over the given texts, each with a share ``drop`` of its features left out at random."""
@@ -124,14 +161,24 @@ def document_frequencies(documents: DataFrame, buckets: int) -> np.ndarray:
     """Inverse document frequency of each place of the table, over all documents; what comes to the driver is a number for each place."""
 
     def count(batches):
-        f, seen, n = Features(buckets), np.zeros(buckets, np.int64), 0
+        f, n = Features(buckets), 0
+        seen, total = Counter(), np.zeros(buckets, np.int64)
+
+        def settle():
+            for w, k in seen.items():
+                for p, _ in f.places(w):
+                    total[p] += k
+            seen.clear()
+
         for b in batches:
             for t in b["text"]:
-                c = f.counts(t)
-                seen[np.fromiter(c, np.int64, len(c))] += 1
+                seen.update(words(t).keys())
+            if len(seen) > 500_000:
+                settle()
             n += len(b)
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"place": np.concatenate([at, [-1]]), "n": np.concatenate([seen[at], [n]])})
+        settle()
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"place": np.concatenate([at, [-1]]), "n": np.concatenate([total[at], [n]])})
 
     got = documents.select("text").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     df, n = np.ones(buckets), 0
@@ -140,7 +187,7 @@ def document_frequencies(documents: DataFrame, buckets: int) -> np.ndarray:
             n = k
         else:
             df[p] = k
-    return np.log((n + 1) / df).astype(np.float32)
+    return np.maximum(np.log((n + 1) / df), 0).astype(np.float32)
 
 
 def train(labelled: DataFrame, subjects: list[str], features: Features, dim: int, steps: int, rate: float, part_docs: int, drop: float) -> Model:
@@ -229,11 +276,10 @@ def assign(
 
     def score(batches):
         features, parts_, names = sent.value
-        m = Model(*parts_)
+        m, vectors = Model(*parts_), WordVectors(features, parts_[0])
         for b in batches:
-            got = [features.of(t) for t in b["text"]]
-            p = m.scores([c for c, _ in got], [v for _, v in got])
-            has = np.array([len(c) > 0 for c, _ in got], bool)
+            means, has = vectors.mean(b["text"].tolist())
+            p = m.scores(means)
             r, s = np.nonzero((p >= threshold) & has[:, None])
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": np.array(names, object)[s], "score": p[r, s].astype(float)})
 

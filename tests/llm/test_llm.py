@@ -487,6 +487,18 @@ def test_clean_text():
     assert subjects.words("loadBalancer load_balancer") == {"load": 2, "balancer": 2}
 
 
+def test_word_vectors_are_the_features():
+    rng = np.random.default_rng(1)
+    f = subjects.Features(512, rng.random(512).astype(np.float32))
+    table = rng.normal(0, 1, (512, 4)).astype(np.float32)
+    texts = ["alpha beta gamma alphabet", "", None, "beta beta loadBalancer", "1 2 3", "x " * 500] + [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(k, k + 60)) for k in range(0, 600, 7)]
+    v = subjects.WordVectors(f, table, most=50)
+    means, has = v.mean(texts[:4])
+    more, has2 = v.mean(texts[4:])
+    want = subjects.mean_of(table, *zip(*[f.of(t) for t in texts]))
+    assert np.allclose(np.concatenate([means, more]), want, atol=1e-4) and list(np.concatenate([has, has2])[:6]) == [True, False, False, True, False, False]
+
+
 def test_unknown_words_have_features():
     f = subjects.Features(4096, np.ones(4096, np.float32))
     known, typo = f.of("kubernetes")[0], f.of("kubernetis")[0]
