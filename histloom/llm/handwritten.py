@@ -1,21 +1,22 @@
 """Which file changes belong to files that nobody on the project wrote by hand.
 
-Each file's text is lexed into strings, numbers, words and punctuation; it is then re-emitted in a canonical layout (one
-statement to a line), and the original layout is compared with it:
+Each file's text is lexed by the rules of its language family into comments, strings, numbers, words and punctuation; it is then re-emitted in a
+canonical layout (one statement to a line, indented by depth), and the original layout is compared with it:
 
 * minified: canonical layout needs many times the lines, and the original lines are long;
 * generated: nearly all lines have one and the same token shape;
 * data: literals (numbers, base-64 and hex text, not prose) dominate.
 
 What a layout cannot tell is read from the file itself: tool headers in comments, licence banners of other projects, file
-names that tools always write, and folders that hold copies. Evidence counts for the file, so a change whose own lines show
-nothing is named when another change of that file in the project does.
+names that tools always write, and folders that hold copies. ``layout`` says what the layout alone shows, ``reason`` what all of it does. Evidence counts
+for the file, so a change whose own lines show nothing is named when another change of that file in the project does.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,27 @@ BANNER = re.compile(r"(?im)^[ +-]?\s*(?://+|#+|/?\*+!?)?\s*(?:\(c\)|©|copyright
 IDIOM = re.compile(r"\bthis\.[gs]etField\(\d+\b|\bswitch \(\w+\.label\) \{ case \d+: return \[\d|__awaiter\(this, void 0|__extends\(|\bproto\.jspb\b|\$jscomp\b")
 PROGRAM = set("py js jsx mjs cjs ts tsx java go c h cc cpp hpp cs rb rs php swift kt scala lua pl r m".split())
 STYLE = {"css", "scss", "less"}
-STRINGS = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'')
-NUMBERS = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFlLuU]*(?!\w)")
-WORDS = re.compile(r"[A-Za-z_$][\w$]*")
-DENSE = re.compile(r"['\"][A-Za-z0-9+/=\\]{32,}['\"]")
-BREAK = re.compile(r"[;{}](?=[^\n])|,(?=function|!function|var )")
-LISTED = re.compile(r"(['\"0])(?:,[ ]?\1)+")
+# Lexical rules of language families: what opens a comment to the end of the line, and what encloses one.
+FAMILIES = {
+    "c": (r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\Z)"), "hash": (r"\#[^\n]*", r"(?!)"), "style": (r"(?!)", r"/\*(?s:.*?)(?:\*/|\Z)"), "lua": (r"--[^\n]*", r"--\[\[(?s:.*?)(?:\]\]|\Z)"), "percent": (r"%[^\n]*", r"(?!)"), "php": (r"(?://|\#)[^\n]*", r"/\*(?s:.*?)(?:\*/|\Z)"),
+    "text": (r"(?!)", r"(?!)"),
+}
+FAMILY_OF = {
+    **dict.fromkeys("js jsx mjs cjs ts tsx java go c h cc cpp hpp cs rs swift kt scala".split(), "c"), **dict.fromkeys("py rb pl r".split(), "hash"), **dict.fromkeys(STYLE, "style"), "lua": "lua", "m": "percent", "php": "php",
+}
+LEXERS = {
+    name: re.compile(
+        rf"(?P<comment>{block}|{line})"
+        r"""|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')"""
+        r"|(?P<number>(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[fFlLuU]*(?!\w))"
+        r"|(?P<word>[A-Za-z_$][\w$]*)|(?P<line>\n)|(?P<blank>[^\S\n]+)|(?P<mark>(?s:.))"
+    )
+    for name, (line, block) in FAMILIES.items()
+}
+DENSE = re.compile(r"[A-Za-z0-9+/=\\]{32,}")
+DIGEST = re.compile(r"\b(?:sha\d+[-:=]|h1:)?[A-Za-z0-9+/_-]{40,}={0,2}")
+LISTED = re.compile(r"(['\"0])(?:,\1)+")
+PLAIN = ("", "}", "{", "};", "end", "a")
 
 
 def new_side(diff: str) -> list[str]:
@@ -56,52 +72,118 @@ def new_side(diff: str) -> list[str]:
     return has if has and added else [x for x in gone if x.strip()] or has
 
 
-def layout(lines: list[str]) -> dict[str, float]:
-    """expansion, line_length, uniformity, shape_tokens and literal share of the text's layout."""
+def lex(text: str, ext: str) -> Iterator[tuple[str, str]]:
+    """(kind, text) of each token, by the rules of the ending's language family; together they are the text."""
+    for m in LEXERS[FAMILY_OF.get(ext, "text")].finditer(text):
+        yield m.lastgroup or "", m.group()
+
+
+def canonical(tokens: Iterable[tuple[str, str]], depth_of: str = "    ") -> list[str]:
+    """The text re-emitted with one statement to a line, indented by its depth, and single blanks where there were any."""
+    out, line, depth, within, gap = [], [], 0, 0, False
+
+    def end():
+        nonlocal line, gap
+        if line:
+            out.append(depth_of * max(0, depth - (line[0] == "}")) + "".join(line))
+        line, gap = [], False
+
+    for kind, t in tokens:
+        if kind == "line":
+            end()
+        elif kind == "blank":
+            gap = bool(line)
+        else:
+            if t == "function" and line[-1:] == [","] or t == "var" and line[-1:] == [","]:
+                end()
+            line += [" ", t] if gap else [t]
+            gap = False
+            if kind == "mark":
+                within = max(0, within + (t in "([") - (t in ")]"))
+                if t in ";{}" and not (t == ";" and within):
+                    end()
+                    depth = max(0, depth + (t == "{") - (t == "}"))
+    end()
+    return out
+
+
+def layout(lines: list[str], ext: str = "") -> dict[str, float]:
+    """expansion, line_length, uniformity, shape_tokens, literal share and characters, and lines with digests, of the text's layout."""
     text = "\n".join(lines)
     if not text:
-        return {"expansion": 1.0, "line_length": 0.0, "uniformity": 0.0, "shape_tokens": 0, "literals": 0.0, "literal_chars": 0}
-    dense = sum(len(m) for m in DENSE.findall(text))
-    bare = STRINGS.sub('"', text)
-    no_num = NUMBERS.sub("0", bare)
-    numbers = sum(map(len, NUMBERS.findall(bare)))
-    solid = len(text) - text.count(" ") - text.count("\n") - text.count("\t")
-    canonical = BREAK.sub(lambda m: m.group() + "\n", bare)
-    n = len([x for x in canonical.split("\n") if x.strip()])
-    shapes = [LISTED.sub(r"\1", WORDS.sub("a", x).replace(" ", "").replace("\t", "")) for x in no_num.split("\n")]
-    shapes = [x for x in shapes if x not in ("", "}", "{", "};", "end", "a")]
+        return {"expansion": 1.0, "line_length": 0.0, "uniformity": 0.0, "shape_tokens": 0, "literals": 0.0, "literal_chars": 0, "digests": 0.0, "digest_lines": 0}
+    tokens = list(lex(text, ext))
+    dense = numbers = 0
+    shapes, shape = [], []
+    for kind, t in tokens:
+        if kind == "line":
+            shapes.append("".join(shape))
+            shape = []
+        elif kind == "string":
+            shape.append('"')
+            if len(t) >= 34 and DENSE.fullmatch(t, 1, len(t) - 1):
+                dense += len(t)
+        elif kind == "number":
+            shape.append("0")
+            numbers += len(t)
+        elif kind == "word":
+            shape.append("a")
+        elif kind == "mark":
+            shape.append(t)
+        elif kind == "comment":  # its lines have the shape of its words
+            head, *more = re.sub(r"[A-Za-z_$][\w$]*", "a", re.sub(r"[^\S\n]", "", t)).split("\n")
+            for x in (head, *more)[:-1]:
+                shapes.append("".join([*shape, x]))
+                shape = []
+            shape.append((head, *more)[-1])
+    shapes = [LISTED.sub(r"\1", x) for x in [*shapes, "".join(shape)]]
+    shapes = [x for x in shapes if x not in PLAIN]
     top, count = Counter(shapes).most_common(1)[0] if shapes else ("", 0)
+    digests = sum(bool(DIGEST.search(x)) for x in lines)
+    solid = len(text) - text.count(" ") - text.count("\n") - text.count("\t")
     return {
-        "expansion": n / len(lines), "line_length": len(text) / len(lines), "uniformity": count / len(shapes) if shapes else 0.0,
-        "shape_tokens": len(top) if count > 1 else 0, "literals": (dense + numbers) / max(1, solid), "literal_chars": dense + numbers,
+        "expansion": len(canonical(tokens)) / len(lines), "line_length": len(text) / len(lines), "uniformity": count / len(shapes) if shapes else 0.0,
+        "shape_tokens": len(top) if count > 1 else 0, "literals": (dense + numbers) / max(1, solid), "literal_chars": dense + numbers, "digests": digests / len(lines), "digest_lines": digests,
     }
 
 
-def evidence(path: str, diff: str) -> str | None:
-    """Why the text of a change shows that its file is not hand-written, or None."""
+def by_layout(path: str, diff: str) -> str | None:
+    """What the layout of a change's text shows: 'minified', 'generated', 'data' or None."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    if HEADER.search(diff):
-        return "generated"
-    if BANNER.search(diff):
-        return "vendored"
-    if ext not in PROGRAM and ext not in STYLE:
-        return None
     lines = new_side(diff)
-    f = layout(lines)
+    if not lines:
+        return None
+    f = layout(lines, ext)
+    if ext not in PROGRAM and ext not in STYLE:
+        # lists of checksums, as lock files are
+        return "data" if f["digest_lines"] >= 3 and f["digests"] >= 0.2 and "PRIVATE KEY" not in diff and "PUBLIC KEY" not in diff else None
     if f["line_length"] >= 160 and f["expansion"] >= 6:
         return "minified"
     if ext in STYLE:
         return None
     if f["literals"] >= 0.5 and f["literal_chars"] >= 100:
         return "data"
-    text = "\n".join(lines)
-    if IDIOM.search(text) and len(IDIOM.findall(text)) >= 0.5 * len(lines):
-        return "generated"
     if f["uniformity"] >= 0.85 and (f["shape_tokens"] >= 24 and len(lines) >= 4 or f["shape_tokens"] >= 16 and len(lines) >= 6):
         return "generated"
     return None
 
 
+def by_text(path: str, diff: str) -> str | None:
+    """What the text says of itself: a tool's header, another project's banner, a generator's idioms in most lines."""
+    if HEADER.search(diff):
+        return "generated"
+    if BANNER.search(diff):
+        return "vendored"
+    ext = path.rsplit(".", 1)[-1].lower()
+    lines = new_side(diff) if ext in PROGRAM and IDIOM.search(diff) else []
+    return "generated" if lines and len(IDIOM.findall("\n".join(lines))) >= 0.5 * len(lines) else None
+
+
+def evidence(path: str, diff: str) -> str | None:
+    """Why the text of a change shows that its file is not hand-written, or None."""
+    return by_text(path, diff) or by_layout(path, diff)
+
+
 def named(path: Column) -> Column:
     """What the path alone says: 'generated', 'minified', 'vendored' or null."""
     p = F.lower(path)
@@ -113,26 +195,29 @@ def named(path: Column) -> Column:
 
 
 def classify(changes: DataFrame, project: Column, new_path: Column, old_path: Column, filename: Column, diff: Column, keys: list[str]) -> DataFrame:
-    """``keys`` and ``reason`` of every change whose file is generated, minified, vendored or data.
+    """``keys``, ``reason`` and ``layout`` of every change whose file is generated, minified, vendored or data.
 
-    changes: a row per file change; rows that repeat are merged. A file is a path in a project; a renamed file is both its paths,
+    reason: by its path, its text or its layout; layout: what the layout of the file's changes shows, null if nothing. changes: a row per file change; rows that
+    repeat are merged. A file is a path in a project; a renamed file is both its paths,
     and a change without paths is taken by its name. Null or empty diffs are judged by path and by the file's other changes.
-    A null project is a project of its own. Texts are read whole, one diff in memory at a time; the only shuffle carries
+    A null project is a project of its own. Every text is lexed, whole, one diff in memory at a time; the only shuffle carries
     the paths that have evidence of their own.
     """
     base = changes.select(*keys, project.alias("_project"), F.coalesce(new_path, old_path, filename).alias("_path"), old_path.alias("_old"), F.coalesce(diff, F.lit("")).alias("_diff"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys, "_project", "_path", "_old").schema) + ", _why string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys, "_project", "_path", "_old").schema) + ", _why string, _layout string"
 
     def read(batches):
         for b in batches:
-            b["_why"] = pd.Series([evidence(p or "", d) if d else None for p, d in zip(b["_path"], b["_diff"])], dtype=object, index=b.index)
+            pairs = list(zip(b["_path"], b["_diff"]))
+            b["_why"] = pd.Series([by_text(p or "", d) if d else None for p, d in pairs], dtype=object, index=b.index)
+            b["_layout"] = pd.Series([by_layout(p or "", d) if d else None for p, d in pairs], dtype=object, index=b.index)
             yield b.drop(columns="_diff")
 
-    # pointless to lex what the path settles; the diff of such a change is not sent to Python
-    told = named(F.col("_path"))
-    judged = base.withColumn("_diff", F.when(told.isNull(), F.col("_diff")).otherwise("")).mapInPandas(read, schema).withColumn("reason", F.coalesce(named(F.col("_path")), F.col("_why")))
+    judged = base.mapInPandas(read, schema).withColumn("reason", F.coalesce(named(F.col("_path")), "_why", "_layout"))
     # kept, as both sides of the join below read it: the texts are lexed once
-    judged = Scratch(changes.sparkSession, "handwritten").save(judged.withColumn("_files", F.array_distinct(F.array_compact(F.array("_path", "_old")))).drop("_path", "_old", "_why"))
-    known = judged.filter("reason is not null").select(F.coalesce("_project", F.lit("")).alias("p"), F.explode("_files").alias("f"), F.col("reason").alias("r")).groupBy("p", "f").agg(F.min("r").alias("r"))
-    own = judged.select(*keys, F.coalesce("_project", F.lit("")).alias("p"), F.explode_outer("_files").alias("f"), "reason")
-    return own.join(known, ["p", "f"], "left").withColumn("reason", F.coalesce("reason", "r")).filter("reason is not null").groupBy(*keys).agg(F.min("reason").alias("reason"))
+    scratch = Scratch(changes.sparkSession, "handwritten")
+    judged = scratch.save(judged.withColumn("_files", F.array_distinct(F.array_compact(F.array("_path", "_old")))).drop("_path", "_old", "_why"))
+    known = judged.filter("reason is not null").select(F.coalesce("_project", F.lit("")).alias("p"), F.explode("_files").alias("f"), F.col("reason").alias("r"), F.col("_layout").alias("l")).groupBy("p", "f").agg(F.min("r").alias("r"), F.min("l").alias("l"))
+    own = judged.select(*keys, F.coalesce("_project", F.lit("")).alias("p"), F.explode_outer("_files").alias("f"), "reason", F.col("_layout").alias("layout"))
+    found = own.join(known, ["p", "f"], "left").withColumns({"reason": F.coalesce("reason", "r"), "layout": F.coalesce("layout", "l")})
+    return found.filter("reason is not null").groupBy(*keys).agg(F.min("reason").alias("reason"), F.min("layout").alias("layout"))
