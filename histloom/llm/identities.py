@@ -5,6 +5,10 @@ share a blocking key are merged; the merged profile holds the union of spellings
 every given name, an initial made whole), and so re-enters blocking, until nothing merges any more.
 
 Blocking keys are built so that agreeing on one is the match itself, hence a block is joined to its least member, never compared in pairs.
+
+Given names in the list below are known as such, with their short forms. Of other given names the mailbox tells which word is the surname, and
+a short form beside the long one in a mailbox joins both; without a mailbox, names of two unlisted words agree in either order, and one left-out or
+swapped letter inside a given name is forgiven where the whole name occurs with that surname. Words may be of any script.
 """
 
 from __future__ import annotations
@@ -58,6 +62,13 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+def inside_slips(w: str) -> set[str]:
+    """What the word may have been meant to be written as or have been written for: a letter inside put in or left out is one side's, so only leaving out and swapping are listed."""
+    out = {w[:i] + w[i + 1 :] for i in range(1, len(w) - 1)}
+    out |= {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(1, len(w) - 2)}
+    return out - {w}
+
+
 _SLIPPED: dict[str, set[str]] = {}
 for _w in WHOLE:
     if len(_w) >= 5:
@@ -90,9 +101,9 @@ def parse(name: str | None, email: str | None) -> dict:
     comma = re.match(r"^([^,]+),\s*(.+)$", text)
     if comma:
         text = f"{comma.group(2)} {comma.group(1)}"
-    tokens = re.findall(r"[A-Za-z']+", re.sub(r"(?<=[a-z]{2})(?=[A-Z][a-z])", " ", text))
-    tokens = [t.replace("'", "").lower() for t in tokens if t.replace("'", "")]
-    out = {"surnames": set(), "firsts": set(), "initials": set(), "bare": set(), "prefixes": set(), "mail": None, "squash": "".join(tokens)}
+    tokens = re.findall(r"[^\W\d_](?:[^\W\d_]|['’])*", re.sub(r"(?<=[a-z]{2})(?=[A-Z][a-z])", " ", text))
+    tokens = [t for t in (re.sub("['’]", "", t).lower() for t in tokens) if t]
+    out = {"surnames": set(), "firsts": set(), "initials": set(), "bare": set(), "prefixes": set(), "pairs": set(), "mail": None, "squash": "".join(tokens)}
     squashed_local = "".join(parts)
     bot = bool(re.search(r"\bbot\b|\bautomation\b|\[bot\]", (name or "").lower())) or bool(re.search(r"(^|[-_.])(bot|ci)([-_.]|@)", mail))
     if out["squash"] and (out["squash"] == squashed_local or bot):
@@ -102,14 +113,20 @@ def parse(name: str | None, email: str | None) -> dict:
 
     # the mailbox: a given name or initial, and a surname
     mail_pairs: list[tuple[str, str]] = []
+    settled: tuple[str, str] | None = None
     if len(parts) == 2:
         a, b = parts
         if len(a) == 1 or given(a) and not (given(b) and a not in CANON):
             mail_pairs = [(a, b)]
         elif len(b) == 1 or given(b):
             mail_pairs = [(b, a)]
-        else:
-            mail_pairs = []
+        elif len(tokens) >= 2:  # names that no list has: the word that is typed too is the surname, the other a given name, be it in another form
+            known = {tokens[0], tokens[-1]}
+            if (a in known) != (b in known) and (first_of := known - {a, b}) and not any(given(t) for t in known):
+                mail_pairs = [(a, b)] if b in known else [(b, a)]
+                settled = next(iter(first_of)), mail_pairs[0][1]
+            elif {a, b} == known and not any(given(t) for t in known):
+                mail_pairs, settled = [(a, b)], (a, b)  # as mailboxes are usually written
     mail_words = [p for p in parts if len(p) >= 4]
 
     def settle(token: str, starts: set[str]) -> str:
@@ -127,7 +144,9 @@ def parse(name: str | None, email: str | None) -> dict:
         fits = [any(near(t, w) for w in mail_words) for t in (a, b)]
         if not swapped and fits[0] and not fits[1] and not given(a) and len(a) > 1:
             swapped = True
-        first, last = (b, a) if swapped else (a, b)
+        first, last = settled if settled else (b, a) if swapped else (a, b)
+        if not given(a) and not given(b) and a != b and (len(a) > 1 and len(b) > 1 or not (a + b).isascii()):
+            out["pairs"].add((min(a, b), max(a, b)))
     elif len(tokens) == 1:
         t = tokens[0]
         if given(t) and not any(near(t, w) for w in mail_words if not given(w)):
@@ -142,7 +161,7 @@ def parse(name: str | None, email: str | None) -> dict:
             for s, i in ((t[1:], t[0]), (t[:-1], t[-1])):
                 if len(s) >= 5:
                     out["initials"].add((s, i))
-    if last and len(last) == 1:  # "Given X.": the surname is an initial
+    if last and len(last) == 1 and last.isascii():  # "Given X.": the surname is an initial
         last = None
     if last:
         last = settle(last, {first[0], *(c[0] for c in given(first))} if first else set())
@@ -176,7 +195,7 @@ def parse(name: str | None, email: str | None) -> dict:
     if surname:
         if first is None:
             out["bare"].add(surname)
-        elif len(first) == 1:
+        elif len(first) == 1 and first.isascii():
             out["initials"].add((surname, first))
         else:
             for c in given(first) or [first]:
@@ -196,8 +215,10 @@ def _read(batches):
             p = parse(n, e)
             if p["mail"]:
                 rows.append((i, "mail", p["mail"], None))
-            if p["squash"] and not p["surnames"]:
+            if p["squash"] and (not p["surnames"] or not p["squash"].isascii()):
                 rows.append((i, "squash", p["squash"], None))
+            rows += [(i, "pair", a, b) for a, b in p["pairs"]]
+            rows += [(i, "near", s, v) for s, f in p["firsts"] if len(f) >= 5 and f not in WHOLE for v in inside_slips(f)]
             rows += [(i, "full", s, f) for s, f in p["firsts"]] + [(i, "initial", s, f) for s, f in p["initials"]] + [(i, "prefix", s, f) for s, f in p["prefixes"]] + [(i, "bare", s, None) for s in p["bare"]]
         yield pd.DataFrame(rows, columns=["id", "kind", "a", "b"])
 
@@ -207,6 +228,7 @@ def _keys(features: DataFrame) -> DataFrame:
     f = features.select("label", "kind", "a", "b").distinct()
     key = lambda tag, *cols: F.concat_ws("\x1f", F.lit(tag), *cols)
     exact = f.filter("kind in ('mail', 'squash')").select("label", key("x", "kind", "a").alias("key"))
+    either = f.filter("kind = 'pair'").select("label", key("p", "a", "b").alias("key"))
     # union of spellings: every surname of the profile with every given name of it
     full = f.filter("kind = 'full'")
     crossed = full.select("label", "a").distinct().join(full.select("label", "b").distinct(), "label")
@@ -220,13 +242,15 @@ def _keys(features: DataFrame) -> DataFrame:
     by_surname = names.groupBy("a").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo = hi")
     initial = f.filter("kind = 'initial'").withColumnRenamed("b", "i")
     made = initial.join(by_initial, ["a", "i"]).select("label", key("f", "a", "lo").alias("key"))
+    # a slip inside a given name counts where the name as it should be stands with the surname
+    close = f.filter("kind = 'near'").join(names.select("a", F.col("first").alias("b")), ["a", "b"]).select("label", key("f", "a", "b").alias("key"))
     known = names.filter(F.col("first").isin(sorted(WHOLE)))
     by_prefix = known.groupBy("a", F.substring("first", 1, 3).alias("b")).agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo = hi")
     short = f.filter("kind = 'prefix'").join(by_prefix, ["a", "b"]).select("label", key("f", "a", "lo").alias("key"))
     bare = f.filter("kind = 'bare'").join(by_surname, "a").select("label", key("f", "a", "lo").alias("key"))
     # initials and bare surnames that no full name backs agree among themselves
     alone = initial.join(names.select("a").distinct(), "a", "left_anti").select("label", key("i", "a", "i").alias("key"))
-    return exact.unionAll(whole).unionAll(slip).unionAll(made).unionAll(bare).unionAll(short).unionAll(alone).distinct()
+    return exact.unionAll(either).unionAll(close).unionAll(whole).unionAll(slip).unionAll(made).unionAll(bare).unionAll(short).unionAll(alone).distinct()
 
 
 def resolve(records: DataFrame, record_id: Column, name: Column, email: Column) -> DataFrame:
@@ -262,6 +286,11 @@ def resolve(records: DataFrame, record_id: Column, name: Column, email: Column)
         labels = merged
 
 
+def with_links(entities: DataFrame) -> DataFrame:
+    """(id, entity, links): with how many other ids each id is linked. Sizes are counted before they are joined back."""
+    return entities.join(entities.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links")), "entity").select("id", "entity", "links")
+
+
 def linked_pairs(entities: DataFrame) -> DataFrame:
     """(a, b), a < b, of every two ids with one entity."""
     left = entities.select("entity", F.col("id").alias("a"))

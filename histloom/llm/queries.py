@@ -20,7 +20,7 @@ def p2_found(spark, d):
 
 
 def p2_entities(spark, d):
-    return _entities(spark, d).withColumnsRenamed({"id": "contributor_id", "entity": "entity_id"})
+    return identities.with_links(_entities(spark, d)).withColumnsRenamed({"id": "contributor_id", "entity": "entity_id"})
 
 
 def _diffs(spark, d):

@@ -38,11 +38,43 @@ def test_identities(spark):
     assert len(group(21, 22, 23)) == 3
 
 
+def test_names_that_no_list_has(spark):
+    rows = [
+        ("Zhang Wei", None), ("Wei Zhang", "wei.zhang@a.example"), ("Konrad Vellnor", None), ("Konrd Vellnor", None), ("Beppe Rossini", "giuseppe.rossini@b.example"), ("Giuseppe Rossini", None), ("Rajesh Gopalan", None), ("Rajseh Gopalan", None),
+        ("Иван Петров", "ivan.petrov@c.example"), ("Петров Иван", None), ("李 伟", None), ("李 伟", "x@d.example"), ("李 强", None), ("Мария Петрова", None), ("Marta Bellini", None), ("Maria Bellini", None), ("Mario Bellini", None),
+    ]
+    got = resolve(spark, rows)
+    same = [(0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11)]
+    assert [(rows[a], rows[b]) for a, b in same if got[a] != got[b]] == []
+    assert len({got[i] for i in (0, 2, 4, 6, 8, 10, 12, 13, 14, 15, 16)}) == 11
+
+
+def test_held_out_names(spark):
+    """Given names and surnames drawn from syllables, none of them in the list: each person under several spellings."""
+    rng = random.Random(12)
+    syl = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    rows, person = [], []
+    for k in range(150):
+        first, last = ("".join(rng.choice(syl) for _ in range(3)).title() for _ in range(2))
+        mail = f"{first}.{last}@h{k % 5}.example".lower()
+        i = rng.randint(1, 4)
+        forms = [(f"{first} {last}", mail), (f"{last} {first}", None), (f"{last}, {first}", None), (f"{first[:i]}{first[i + 1:]} {last}", None), (f"{first.upper()} {last.upper()}", None), (f"{first} {last} [corp]", mail), (f"{first[0]}. {last}", None)]
+        for f in rng.sample(forms, 4):
+            rows.append(f)
+            person.append(k)
+    got = resolve(spark, rows)
+    pairs = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if person[a] == person[b]}
+    found = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if got[a] == got[b]}
+    print("held-out names: recall", len(pairs & found) / len(pairs), "precision", len(pairs & found) / len(found))
+    assert len(pairs & found) / len(pairs) >= 0.8 and len(pairs & found) / len(found) >= 0.95
+
+
 def test_identities_empty_and_pairs(spark):
     df = spark.createDataFrame([], "k long, name string, email string")
     assert ident.resolve(df, F.col("k"), F.col("name"), F.col("email")).count() == 0
     e = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id long, entity long")
     assert sorted(map(tuple, ident.linked_pairs(e).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert {(r["id"], r["links"]) for r in ident.with_links(e).collect()} == {(1, 2), (2, 2), (3, 2), (4, 0)}
 
 
 def test_near():
