@@ -58,8 +58,9 @@ def key_statistics(commits: DataFrame, keys: dict[str, Column], hash_: Column, l
     # a commit delivered again brings its measures again: one state per hash
     measures = base.groupBy("hash").agg(F.max("lines").alias("lines"))
     sums = eager_join_sum(of_commit, measures, ["hash"], by, right_sums=["lines"]).select(*by, F.col("rows").alias("commits"), F.col("lines").alias("changed_lines"))
-    touched = base.select("hash", F.explode("files").alias("file")).filter(F.col("file").isNotNull()).distinct()
-    spread = of_commit.join(touched, "hash").groupBy(*by, "file").agg(F.count(F.lit(1)).alias("n"))
+    # one state per hash here too: its distinct files, which are spread only after they have met the keys
+    touched = base.groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_list(F.array_compact("files")))).alias("files")).filter(F.size("files") > 0)
+    spread = of_commit.join(touched, "hash").select(*by, F.explode("files").alias("file")).groupBy(*by, "file").agg(F.count(F.lit(1)).alias("n"))
     files_of = spread.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_files"))
     total = base.select(F.col("hash").alias("h")).distinct().agg(F.count(F.lit(1)).alias("total"))
     return (
