@@ -223,21 +223,21 @@ def _read(batches):
         yield pd.DataFrame(rows, columns=["id", "kind", "a", "b"])
 
 
-def _keys(features: DataFrame) -> DataFrame:
-    """(label, key) of each profile; agreeing on a key is a match."""
-    f = features.select("label", "kind", "a", "b").distinct()
+def _keys(features: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, key) of each profile; agreeing on a key is a match. What several rules read is kept as a table, so that no rule's plan repeats it."""
+    f = scratch.save(features.select("label", "kind", "a", "b").distinct())
     key = lambda tag, *cols: F.concat_ws("\x1f", F.lit(tag), *cols)
     exact = f.filter("kind in ('mail', 'squash')").select("label", key("x", "kind", "a").alias("key"))
     either = f.filter("kind = 'pair'").select("label", key("p", "a", "b").alias("key"))
     # union of spellings: every surname of the profile with every given name of it
     full = f.filter("kind = 'full'")
-    crossed = full.select("label", "a").distinct().join(full.select("label", "b").distinct(), "label")
+    crossed = scratch.save(full.select("label", "a").distinct().join(full.select("label", "b").distinct(), "label"))
     whole = crossed.select("label", key("f", "a", "b").alias("key"))
     # one slip in the surname: agreement on the word less one letter, for long surnames and the same given name
     less = F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.concat(F.expr("a").substr(F.lit(1), i - 1), F.expr("a").substr(i + 1, F.length("a"))))
     slip = crossed.filter("length(a) >= 6").select("label", "b", F.explode(F.array_distinct(F.concat(F.array("a"), less))).alias("v")).select("label", key("s", "v", "b").alias("key"))
     # an initial is made whole where the surname has one given name with it; a bare surname where it has one at all
-    names = crossed.select(F.col("a"), F.col("b").alias("first")).distinct()
+    names = scratch.save(crossed.select(F.col("a"), F.col("b").alias("first")).distinct())
     by_initial = names.groupBy("a", F.substring("first", 1, 1).alias("i")).agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo = hi")
     by_surname = names.groupBy("a").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo = hi")
     initial = f.filter("kind = 'initial'").withColumnRenamed("b", "i")
@@ -250,7 +250,9 @@ def _keys(features: DataFrame) -> DataFrame:
     bare = f.filter("kind = 'bare'").join(by_surname, "a").select("label", key("f", "a", "lo").alias("key"))
     # initials and bare surnames that no full name backs agree among themselves
     alone = initial.join(names.select("a").distinct(), "a", "left_anti").select("label", key("i", "a", "i").alias("key"))
-    return exact.unionAll(either).unionAll(close).unionAll(whole).unionAll(slip).unionAll(made).unionAll(bare).unionAll(short).unionAll(alone).distinct()
+    keys = scratch.save(exact.unionAll(either).unionAll(close).unionAll(whole).unionAll(slip).unionAll(made).unionAll(bare).unionAll(short).unionAll(alone).distinct())
+    scratch.drop(f, crossed, names)
+    return keys
 
 
 def resolve(records: DataFrame, record_id: Column, name: Column, email: Column) -> DataFrame:
@@ -267,10 +269,11 @@ def resolve(records: DataFrame, record_id: Column, name: Column, email: Column)
     features = scratch.save(rows.mapInPandas(_read, f"id {kind}, kind string, a string, b string").distinct())
     labels = scratch.save(rows.select("id", F.col("id").alias("label")).distinct())
     while True:
-        keys = scratch.save(_keys(features.join(labels, "id")))
+        keys = _keys(features.join(labels, "id"), scratch)
         least = keys.groupBy("key").agg(F.min("label").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         hook = scratch.save(keys.join(least, "key").groupBy("label").agg(F.min("least").alias("to")).filter("to < label"))
         if hook.isEmpty():
+            scratch.keep(labels)
             return labels.select("id", F.col("label").alias("entity"))
         # follow the hooks to their ends by doubling; hooks point down, so there is no cycle
         while True:
