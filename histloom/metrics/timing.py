@@ -89,9 +89,10 @@ def diff_delta(commits: DataFrame, changes: DataFrame, scope: list[str], weekly:
     return out.withColumn("velocity_per_day", F.col("diff_delta") / F.greatest("active_days", F.lit(1)))
 
 
+_NUMBERS = lambda lines: F.transform(lines, lambda x: x["no"])
 AGE_FIELDS = {
-    "adds": lambda m: F.filter(line_pairs(m["diff_parsed"]["added"]), lambda x: rules.provenance_line(x["text"]) & x["no"].isNotNull()), "dels": lambda m: F.filter(line_pairs(m["diff_parsed"]["deleted"]), lambda x: x["no"].isNotNull()),
-    "prior": lambda m: F.transform(F.filter(F.transform(F.split(F.coalesce(m["source_code_before"], F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("no"), x.alias("text"))), lambda x: rules.provenance_line(x["text"])), lambda x: x["no"]),
+    "adds": lambda m: _NUMBERS(F.filter(line_pairs(m["diff_parsed"]["added"]), lambda x: rules.provenance_line(x["text"]) & x["no"].isNotNull())), "dels": lambda m: _NUMBERS(F.filter(line_pairs(m["diff_parsed"]["deleted"]), lambda x: x["no"].isNotNull())),
+    "prior": lambda m: _NUMBERS(F.filter(F.transform(F.split(F.coalesce(m["source_code_before"], F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("no"), x.alias("text"))), lambda x: rules.provenance_line(x["text"]))),
 }
 
 
@@ -102,8 +103,7 @@ def line_ages(changes: DataFrame, scope: list[str], recent: int = 30, old: int =
     prior lines are taken as written ``seed`` days before. In a change, deletions precede additions.
     """
     code = changes.filter(rules.code_file(F.col("filename")))
-    number = lambda a: F.transform(a, lambda x: x["no"])
-    code = code.select(*scope, "filename", "dev", "ts", "local", "hash", "file_idx", number(F.col("adds")).alias("a"), number(F.col("dels")).alias("d"), F.col("prior").alias("p"))
+    code = code.select(*scope, "filename", "dev", "ts", "local", "hash", "file_idx", F.col("adds").alias("a"), F.col("dels").alias("d"), F.col("prior").alias("p"))
     touch = code.filter((F.size("a") > 0) | (F.size("d") > 0) | (F.size("p") > 0))
     first = touch.groupBy(*scope, "filename").agg(F.min(F.struct("ts", "hash", "file_idx")).alias("at"), F.min_by("p", F.struct("ts", "hash", "file_idx")).alias("p"))
     cols = [*scope, "filename", "dev", "ts", "local", "hash", "file_idx"]

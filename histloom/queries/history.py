@@ -11,6 +11,7 @@ from histloom.metrics import merge, productivity, quality, summary, timing
 from histloom.plans import registry
 from histloom.queries.common import table
 from histloom.sources import readers, writers
+from histloom.tables import Scratch
 
 REPO = ["repo"]
 WEEK = ["repo", "week_label"]
@@ -230,7 +231,12 @@ def a37_repo_activity(s, d):
 
 
 def _weekly_stats(s, d):
-    return summary.weekly_stats(a21_velocity_weekly(s, d), _provenance(s, d), a27_developer_hours(s, d))
+    """Of the commit table two narrow views are made and kept, which the three metrics share."""
+    scratch = Scratch(s, "weekly_stats")
+    c, f = scratch.save(_commits(s, d)), scratch.save(_changes(s, d, DELTA | timing.AGE_FIELDS | {"w": timing.hours_changes}))
+    worth = f.groupBy("hash").agg(F.sum("w").alias("worth"))
+    provenance = timing.code_provenance(timing.line_ages(f, REPO), [])
+    return summary.weekly_stats(timing.diff_delta(c, f, [], True), provenance, timing.developer_hours(timing.work_hours(c.join(worth, "hash", "left"))))
 
 
 def a38_weekly_stats(s, d):
@@ -246,7 +252,7 @@ def a38_developer_summary(s, d):
 
 
 def a42_top_developers(s, d):
-    t = summary.trends(_weekly_stats(s, d))
+    t = Scratch(s, "trends").save(summary.trends(_weekly_stats(s, d)))
     return summary.top(t, "total_diff_delta").unionByName(summary.top(t, "consistency")).unionByName(summary.top(t, "activity_rate"))
 
 
